@@ -85,7 +85,7 @@ def plan_runs_from_orders(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         F.col("children").alias("Plans"),
     )
     doc = F.array(F.struct(root.alias("Plan"),
-                           F.round(F.col("o_totalprice") / 100000, 3).alias("Planning Time"),
+                           (F.col("o_totalprice") / 100000).alias("Planning Time"),
                            exec_ms.alias("Execution Time")))
     qtext = _query_text(F.col("o_custkey"), F.col("o_orderkey"))
     return runs.select(
