@@ -193,8 +193,7 @@ def q_plan_diffs(spark, sf_dir):
 
 
 def q_node_deltas(spark, sf_dir):
-    runs = derived.plan_runs(spark, sf_dir)
-    return D.node_deltas(D.diff_runs(runs), flatten_plans(runs))
+    return D.node_deltas(derived.plan_runs(spark, sf_dir))
 
 
 def q_baseline_vs_candidate(spark, sf_dir):

@@ -46,9 +46,9 @@ def _verdict(pairs: DataFrame) -> DataFrame:
         kb.alias("metric_before_kind"), ka.alias("metric_after_kind"))
 
 
-def run_summaries(runs: DataFrame, json_col: str = "plan_json") -> DataFrame:
+def run_summaries(runs: DataFrame, json_col: str = "plan_json", with_nodes: bool = False) -> DataFrame:
     keep = tuple(c for c in ("run_id", "query_hash", "git_ref") if c in runs.columns)
-    return plan_summaries(runs, json_col, keep=keep)
+    return plan_summaries(runs, json_col, keep=keep, with_nodes=with_nodes)
 
 
 def _side(summ: DataFrame, prefix: str) -> DataFrame:
@@ -58,7 +58,8 @@ def _side(summ: DataFrame, prefix: str) -> DataFrame:
 
 def diff_pairs(summaries: DataFrame, pairs: DataFrame,
                before_col: str = "before_run_id", after_col: str = "after_run_id") -> DataFrame:
-    """D3 (and the core of D1): verdicts for explicit (before, after) run pairs."""
+    """D3: verdicts for explicit (before, after) run pairs, e.g. a baseline
+    and a candidate plan. Joins on run_id, which is unique per run."""
     j = (pairs.join(_side(summaries, "b_"), F.col(before_col) == F.col("b_run_id"), "inner")
          .join(_side(summaries, "a_"), F.col(after_col) == F.col("a_run_id"), "inner"))
     out = _verdict(j)
@@ -70,20 +71,36 @@ def diff_pairs(summaries: DataFrame, pairs: DataFrame,
         "metric_before", "metric_after", "metric_before_kind", "metric_after_kind")
 
 
-def diff_runs(runs: DataFrame, json_col: str = "plan_json", summaries: DataFrame | None = None) -> DataFrame:
+_CARRY = ("node_count", "root_cost", "execution_time_ms")
+
+
+def _paired(summ: DataFrame, with_nodes: bool) -> DataFrame:
+    """Each run with the summary of its previous run of the same query, carried
+    by the (skew-safe) ordered window -- no self-join."""
+    carry = _CARRY + (("nodes",) if with_nodes else ())
+    seq = previous_runs(summ, carry=carry)
+    renames = {"node_count": "a_node_count", "root_cost": "a_root_cost",
+               "execution_time_ms": "a_execution_time_ms", "prev_node_count": "b_node_count",
+               "prev_root_cost": "b_root_cost", "prev_execution_time_ms": "b_execution_time_ms"}
+    for old, new in renames.items():
+        seq = seq.withColumnRenamed(old, new)
+    return seq
+
+
+def diff_runs(runs: DataFrame | None, json_col: str = "plan_json",
+              summaries: DataFrame | None = None) -> DataFrame:
     """Every run with its previous run of the same query and the verdict.
 
     First runs are kept with ``prev_run_id``, ``verdict`` and the other diff
     columns null. Columns: run_id, query_hash, git_ref, prev_run_id, verdict,
-    aligned, node counts, times, metrics and metric kinds."""
+    aligned, node counts, times, metrics and metric kinds. One shuffle (by
+    query and run range); each document is parsed once."""
     summ = summaries if summaries is not None else run_summaries(runs, json_col)
-    paired = previous_runs(summ)
-    b = _side(summ, "b_")
-    a = paired.select(F.col("run_id"), "query_hash", "git_ref", "prev_run_id",
-                      F.col("node_count").alias("a_node_count"), F.col("root_cost").alias("a_root_cost"),
-                      F.col("execution_time_ms").alias("a_execution_time_ms"))
-    j = a.join(b, F.col("prev_run_id") == F.col("b_run_id"), "left")
-    v = _verdict(j)
+    v = _verdict(_paired(summ, with_nodes=False))
+    return _diff_columns(v)
+
+
+def _diff_columns(v: DataFrame) -> DataFrame:
     first = F.col("prev_run_id").isNull()
 
     def unless_first(c: Column) -> Column:
@@ -101,28 +118,48 @@ def diff_runs(runs: DataFrame, json_col: str = "plan_json", summaries: DataFrame
         F.col("metric_after_kind"))
 
 
-def node_deltas(diffs: DataFrame, nodes: DataFrame, before_col: str = "prev_run_id",
-                after_col: str = "run_id") -> DataFrame:
-    """For aligned pairs, one row per node position: after's type, relation
-    (after's or else before's), estimated cost / rows / actual time of both
-    sides, and whether the normalised type changed."""
-    pairs = diffs.where(F.col("aligned")).select(F.col(before_col).alias("_before"),
-                                                 F.col(after_col).alias("_after"))
-    cols = ["run_id", "node_ord", "node_type", "relation", "estimated_cost", "estimated_rows", "actual_time_ms"]
-    a = nodes.select(*[F.col(c).alias("a_" + c) for c in cols])
-    b = nodes.select(*[F.col(c).alias("b_" + c) for c in cols])
-    j = (pairs.join(a, F.col("_after") == F.col("a_run_id"), "inner")
-         .join(b, (F.col("_before") == F.col("b_run_id")) & (F.col("a_node_ord") == F.col("b_node_ord")), "inner"))
-    return j.select(
-        F.col("_after").alias(after_col if after_col != "run_id" else "run_id"),
-        F.col("_before").alias(before_col),
-        F.col("a_node_ord").alias("node_ord"),
-        F.col("a_node_type").alias("node_type"),
-        F.coalesce("a_relation", "b_relation").alias("relation"),
-        F.col("b_estimated_cost").alias("cost_before"), F.col("a_estimated_cost").alias("cost_after"),
-        F.col("b_estimated_rows").alias("rows_before"), F.col("a_estimated_rows").alias("rows_after"),
-        F.col("b_actual_time_ms").alias("time_before"), F.col("a_actual_time_ms").alias("time_after"),
-        (F.col("a_node_type") != F.col("b_node_type")).alias("node_type_changed"))
+def node_deltas(runs: DataFrame, json_col: str = "plan_json") -> DataFrame:
+    """For each run aligned with its previous run (same node count), one row
+    per node position: after's type, relation (after's or else before's),
+    estimated cost / rows and actual time of both sides, and whether the
+    normalised type changed. The previous run's node list travels with the
+    ordered window, so nodes are never joined across runs."""
+    summ = run_summaries(runs, json_col, with_nodes=True)
+    p = _paired(summ, with_nodes=True)
+    aligned = p.where(F.col("prev_run_id").isNotNull() & (F.col("a_node_count") == F.col("b_node_count")))
+    z = aligned.select("run_id", "prev_run_id",
+                       F.explode(F.arrays_zip(F.col("prev_nodes").alias("b"), F.col("nodes").alias("a"))).alias("z"))
+    return _delta_columns(z.select("run_id", "prev_run_id", F.col("z.a").alias("a"), F.col("z.b").alias("b")))
+
+
+def _delta_columns(z: DataFrame) -> DataFrame:
+    return z.select(
+        "run_id", "prev_run_id",
+        F.col("a.node_ord").alias("node_ord"),
+        F.col("a.node_type").alias("node_type"),
+        F.coalesce("a.relation", "b.relation").alias("relation"),
+        F.col("b.estimated_cost").alias("cost_before"), F.col("a.estimated_cost").alias("cost_after"),
+        F.col("b.estimated_rows").alias("rows_before"), F.col("a.estimated_rows").alias("rows_after"),
+        F.col("b.actual_time_ms").alias("time_before"), F.col("a.actual_time_ms").alias("time_after"),
+        (F.col("a.node_type") != F.col("b.node_type")).alias("node_type_changed"))
+
+
+def node_deltas_for_pairs(pairs: DataFrame, nodes: DataFrame, before_col: str = "before_run_id",
+                          after_col: str = "after_run_id") -> DataFrame:
+    """D2 for explicit pairs (D3): nodes joined on (run_id, node_ord); pairs
+    whose node counts differ give no rows."""
+    counts = nodes.groupBy("run_id").agg(F.count(F.lit(1)).alias("_n"))
+    ok = (pairs.join(counts.select(F.col("run_id").alias("_b"), F.col("_n").alias("_nb")),
+                     F.col(before_col) == F.col("_b"))
+          .join(counts.select(F.col("run_id").alias("_a"), F.col("_n").alias("_na")),
+                F.col(after_col) == F.col("_a"))
+          .where(F.col("_na") == F.col("_nb")).select(F.col(before_col).alias("prev_run_id"),
+                                                      F.col(after_col).alias("run_id")))
+    cols = ["node_ord", "node_type", "relation", "estimated_cost", "estimated_rows", "actual_time_ms"]
+    a = nodes.select(F.col("run_id"), F.struct(*cols).alias("a"), F.col("node_ord").alias("_o"))
+    b = nodes.select(F.col("run_id").alias("_rb"), F.struct(*cols).alias("b"), F.col("node_ord").alias("_ob"))
+    j = ok.join(a, "run_id").join(b, (F.col("prev_run_id") == F.col("_rb")) & (F.col("_o") == F.col("_ob")))
+    return _delta_columns(j.select("run_id", "prev_run_id", "a", "b"))
 
 
 def slowdown_history(diffs: DataFrame) -> DataFrame:

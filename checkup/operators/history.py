@@ -34,28 +34,41 @@ def redact_log(runs: DataFrame, cols: tuple[str, ...] = ("query_text",)) -> Data
     return runs
 
 
-def sequence_within(df: DataFrame, key: str, order: str, *, bucket_width: int = BUCKET_WIDTH) -> DataFrame:
+def sequence_within(df: DataFrame, key: str, order: str, *, carry: tuple[str, ...] = (),
+                    bucket_width: int = BUCKET_WIDTH) -> DataFrame:
     """Adds, per row, within its ``key`` group ordered by ``order`` (unique):
-    ``prev_<order>`` (the previous value, null first), ``pos_asc`` (1 = first)
-    and ``pos_desc`` (1 = last)."""
+    ``prev_<order>`` and ``prev_<c>`` for each carried column ``c`` (values of
+    the previous row, null on the first), ``pos_asc`` (1 = first) and
+    ``pos_desc`` (1 = last).
+
+    Rows are windowed per (key, order range); the last row of each range and
+    the range sizes form a small per-range table that links ranges in order.
+    The per-range table and the rows come from one shuffle (the exchange is
+    reused), so the input is computed once.
+    """
     b = F.floor(F.col(order) / bucket_width).cast("bigint")
+    payload = F.struct(*[F.col(c) for c in (order, *carry)])
     inb = Window.partitionBy(key, "_b").orderBy(order)
     rows = (df.withColumn("_b", b)
-            .withColumn("_prev_in", F.lag(order).over(inb))
+            .withColumn("_prev_in", F.lag(payload).over(inb))
             .withColumn("_pos_in", F.row_number().over(inb).cast("bigint")))
     byb = Window.partitionBy(key).orderBy("_b")
-    summary = (rows.groupBy(key, "_b").agg(F.max(order).alias("_bmax"), F.count(F.lit(1)).alias("_bn"))
-               .withColumn("_prev_bmax", F.lag("_bmax").over(byb))
+    summary = (rows.groupBy(key, "_b")
+               .agg(F.max_by(payload, F.col(order)).alias("_blast"), F.count(F.lit(1)).alias("_bn"))
+               .withColumn("_prev_blast", F.lag("_blast").over(byb))
                .withColumn("_before", F.coalesce(F.sum("_bn").over(
                    byb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
                .withColumn("_total", F.sum("_bn").over(Window.partitionBy(key)))
-               .select(key, "_b", "_prev_bmax", "_before", "_total"))
+               .select(key, "_b", "_prev_blast", "_before", "_total"))
     out = rows.join(summary, [key, "_b"], "inner")
+    prev = F.coalesce(F.col("_prev_in"), F.col("_prev_blast"))
     pos = F.col("_before") + F.col("_pos_in")
-    return (out.withColumn(f"prev_{order}", F.coalesce(F.col("_prev_in"), F.col("_prev_bmax")))
-            .withColumn("pos_asc", pos.cast("bigint"))
+    out = out.withColumn("_prev", prev)
+    for c in (order, *carry):
+        out = out.withColumn(f"prev_{c}", F.col("_prev")[c])
+    return (out.withColumn("pos_asc", pos.cast("bigint"))
             .withColumn("pos_desc", (F.col("_total") - pos + 1).cast("bigint"))
-            .drop("_b", "_prev_in", "_pos_in", "_prev_bmax", "_before", "_total"))
+            .drop("_b", "_prev_in", "_pos_in", "_prev_blast", "_before", "_total", "_prev"))
 
 
 def latest_runs(runs: DataFrame, key: str = "query_hash", order: str = "run_id") -> DataFrame:
@@ -75,7 +88,8 @@ def runs_newest_first(runs: DataFrame, query_hash_value: str | None = None,
     return sequence_within(runs, key, order).drop("pos_asc")
 
 
-def previous_runs(runs: DataFrame, key: str = "query_hash", order: str = "run_id") -> DataFrame:
+def previous_runs(runs: DataFrame, key: str = "query_hash", order: str = "run_id",
+                  carry: tuple[str, ...] = ()) -> DataFrame:
     """H5: each run with ``prev_run_id``, the latest earlier run of its query
-    (null on the first run)."""
-    return sequence_within(runs, key, order).drop("pos_asc", "pos_desc")
+    (null on the first run), and ``prev_<c>`` for carried columns."""
+    return sequence_within(runs, key, order, carry=carry).drop("pos_asc", "pos_desc")

@@ -39,7 +39,7 @@ K_SORT_SPACE = "Sort Space Used"
 K_PLANNING_TIME = "Planning Time"
 K_EXECUTION_TIME = "Execution Time"
 
-_DONE_TYPE = "array<struct<path:array<int>,node:variant>>"
+_DONE_TYPE = "array<struct<path:array<int>,node:variant,child_count:int,max_child_loops:double>>"
 
 
 def _key(name: str) -> str:
@@ -81,67 +81,94 @@ def split_plan_documents(runs: DataFrame, json_col: str = "plan_json",
     return good, bad
 
 
-def _fold_nodes(root: Column, text: Column) -> Column:
-    """All nodes below ``root`` as array<struct<path, node>>, in pre-order."""
+def _kids(node: Column) -> Column:
+    return F.coalesce(F.try_variant_get(node, "$.Plans", "array<variant>"), F.array().cast("array<variant>"))
+
+
+def _fold_nodes(root: Column, text: Column, sort: bool = True) -> Column:
+    """All nodes below ``root`` as array<struct<path, node, child_count,
+    max_child_loops>>, in pre-order when ``sort``.
+
+    Each node's children are read from the VARIANT once, when the node enters
+    the front; the same list gives the child count, the largest child loop
+    count (A4) and the next level."""
     bound = F.floor((F.length(text) - F.length(F.replace(text, F.lit('"Plans"'), F.lit("")))) / 7)
     steps = F.sequence(F.lit(0), bound.cast("int") + 1)
     start = F.struct(
         F.array().cast(_DONE_TYPE).alias("done"),
-        F.array(F.struct(F.array().cast("array<int>").alias("path"), root.alias("node"))).alias("front"),
+        F.array(F.struct(F.array().cast("array<int>").alias("path"), root.alias("node"),
+                         _kids(root).alias("kids"))).alias("front"),
     )
 
-    def children(f):
-        kids = F.coalesce(F.try_variant_get(f["node"], "$.Plans", "array<variant>"),
-                          F.array().cast("array<variant>"))
-        return F.transform(kids, lambda c, j: F.struct(
-            F.concat(f["path"], F.array(j)).alias("path"), c.alias("node")))
+    def emit(f):
+        loops = F.transform(f["kids"], lambda c: F.coalesce(_get(c, K_LOOPS, "double"), F.lit(1.0)))
+        return F.struct(f["path"].alias("path"), f["node"].alias("node"),
+                        F.size(f["kids"]).alias("child_count"),
+                        F.coalesce(F.array_max(loops), F.lit(0.0)).alias("max_child_loops"))
+
+    def expand(f):
+        return F.transform(f["kids"], lambda c, j: F.struct(
+            F.concat(f["path"], F.array(j)).alias("path"), c.alias("node"), _kids(c).alias("kids")))
 
     def step(acc, _i):
         return F.when(F.size(acc["front"]) == 0, acc).otherwise(F.struct(
-            F.concat(acc["done"], acc["front"]).alias("done"),
-            F.flatten(F.transform(acc["front"], children)).alias("front"),
+            F.concat(acc["done"], F.transform(acc["front"], emit)).alias("done"),
+            F.flatten(F.transform(acc["front"], expand)).alias("front"),
         ))
 
     folded = F.aggregate(steps, start, step)["done"]
+    if not sort:
+        return folded
     return F.array_sort(folded, lambda a, b: F.when(a["path"] < b["path"], -1)
                         .when(a["path"] > b["path"], 1).otherwise(0))
 
 
-def _with_nodes(parsed: DataFrame, json_col: str) -> DataFrame:
-    return parsed.withColumn(
-        "_nodes",
-        F.when(F.col("parse_status") == "ok", _fold_nodes(F.col("_root"), F.col(json_col))),
-    )
+def _root_only(runs: DataFrame, json_col: str, keep: tuple[str, ...]) -> DataFrame:
+    """Keep columns + ``_root`` (null unless the document holds a plan) + the
+    text, parsing each document once."""
+    text = F.col(json_col)
+    doc = runs.select(*keep, text.alias("_text"), F.try_parse_json(text).alias("_v"))
+    top = F.coalesce(F.try_variant_get(F.col("_v"), "$[0]", "variant"), F.col("_v"))
+    root = F.try_variant_get(top, "$.Plan", "variant")
+    return doc.select(*keep, "_text", F.when(~F.is_variant_null(root), root).alias("_root"))
 
 
-def _node_columns(node: Column) -> list[Column]:
-    est_rows = F.coalesce(_get(node, K_PLAN_ROWS, "double"), F.lit(0.0))
-    act_rows = _get(node, K_ACTUAL_ROWS, "double")
-    loops = F.coalesce(_get(node, K_LOOPS, "double"), F.lit(1.0))
-    total = act_rows * loops
-    kids = F.coalesce(F.try_variant_get(node, "$.Plans", "array<variant>"),
-                      F.array().cast("array<variant>"))
-    kid_loops = F.transform(kids, lambda c: F.coalesce(_get(c, K_LOOPS, "double"), F.lit(1.0)))
-    factor = F.when(
-        total.isNotNull() & (total > 0) & (est_rows > 0),
-        F.greatest(est_rows / total, total / est_rows),
-    )
-    raw_type = _get(node, K_NODE_TYPE, "string")
+def _raw_fields(node: Column) -> list[Column]:
+    """Fields read from the node VARIANT (each read once)."""
     return [
-        F.coalesce(raw_type, F.lit("")).alias("node_type_raw"),
-        normalize_node_type(raw_type).alias("node_type"),
+        _get(node, K_NODE_TYPE, "string").alias("_type"),
         _get(node, K_RELATION, "string").alias("relation"),
-        est_rows.alias("estimated_rows"),
-        act_rows.alias("actual_rows"),
-        F.coalesce(_get(node, K_TOTAL_COST, "double"), F.lit(0.0)).alias("estimated_cost"),
+        _get(node, K_PLAN_ROWS, "double").alias("_est"),
+        _get(node, K_ACTUAL_ROWS, "double").alias("actual_rows"),
+        _get(node, K_TOTAL_COST, "double").alias("_cost"),
         _get(node, K_ACTUAL_TIME, "double").alias("actual_time_ms"),
+        _get(node, K_LOOPS, "double").alias("_loops"),
+        _get(node, K_SORT_METHOD, "string").alias("sort_method"),
+        _get(node, K_SORT_SPACE, "string").alias("sort_space_used"),
+    ]
+
+
+def _derived_fields() -> list[Column]:
+    """N2-N4 and defaults: Plan Rows 0, Total Cost 0, Actual Loops 1."""
+    est = F.coalesce(F.col("_est"), F.lit(0.0))
+    loops = F.coalesce(F.col("_loops"), F.lit(1.0))
+    total = F.col("actual_rows") * loops
+    factor = F.when(total.isNotNull() & (total > 0) & (est > 0), F.greatest(est / total, total / est))
+    return [
+        F.coalesce(F.col("_type"), F.lit("")).alias("node_type_raw"),
+        normalize_node_type(F.col("_type")).alias("node_type"),
+        F.col("relation"),
+        est.alias("estimated_rows"),
+        F.col("actual_rows"),
+        F.coalesce(F.col("_cost"), F.lit(0.0)).alias("estimated_cost"),
+        F.col("actual_time_ms"),
         loops.alias("loops"),
         total.alias("total_actual_rows"),
         factor.alias("misestimate_factor"),
-        F.size(kids).alias("child_count"),
-        F.coalesce(F.array_max(kid_loops), F.lit(0.0)).alias("max_child_loops"),
-        _get(node, K_SORT_METHOD, "string").alias("sort_method"),
-        _get(node, K_SORT_SPACE, "string").alias("sort_space_used"),
+        F.col("child_count"),
+        F.col("max_child_loops"),
+        F.col("sort_method"),
+        F.col("sort_space_used"),
     ]
 
 
@@ -160,38 +187,77 @@ def flatten_plans(runs: DataFrame, json_col: str = "plan_json",
     estimated_cost, actual_time_ms, loops, total_actual_rows,
     misestimate_factor, child_count, max_child_loops, sort_method,
     sort_space_used, heat, and ``raw`` (the node as VARIANT) if asked.
+    A map-side pass: no shuffle, no window.
     """
-    parsed = _with_nodes(parse_plan_documents(runs, json_col), json_col)
-    exploded = parsed.select(*keep, F.posexplode("_nodes").alias("_pos", "_n"))
+    roots = _root_only(runs, json_col, keep)
+    nodes = F.when(F.col("_root").isNotNull(), _fold_nodes(F.col("_root"), F.col("_text")))
+    exploded = roots.select(*keep, F.posexplode(nodes).alias("_pos", "_n"))
     node = F.col("_n.node")
-    cols = [
+    raw = [node.alias("raw")] if with_raw else []
+    fields = exploded.select(
         *keep,
         (F.col("_pos") + 1).cast("bigint").alias("node_ord"),
         F.col("_n.path").alias("path"),
         F.size(F.col("_n.path")).alias("depth"),
-        *_node_columns(node),
-    ]
-    if with_raw:
-        cols.append(node.alias("raw"))
-    out = exploded.select(*cols)
+        F.col("_n.child_count").alias("child_count"),
+        F.col("_n.max_child_loops").alias("max_child_loops"),
+        *_raw_fields(node), *raw,
+    )
+    out = fields.select(*keep, "node_ord", "path", "depth", *_derived_fields(),
+                        *(["raw"] if with_raw else []))
     return out.withColumn("heat", heat_bucket(F.col("misestimate_factor")))
 
 
+def _count_nodes(root: Column, text: Column) -> Column:
+    """Number of nodes below ``root`` (a level-by-level count, no paths)."""
+    bound = F.floor((F.length(text) - F.length(F.replace(text, F.lit('"Plans"'), F.lit("")))) / 7)
+    steps = F.sequence(F.lit(0), bound.cast("int") + 1)
+    start = F.struct(F.lit(0).alias("n"), F.array(root).alias("front"))
+
+    def step(acc, _i):
+        return F.when(F.size(acc["front"]) == 0, acc).otherwise(F.struct(
+            (acc["n"] + F.size(acc["front"])).alias("n"),
+            F.flatten(F.transform(acc["front"], _kids)).alias("front")))
+
+    return F.aggregate(steps, start, step)["n"]
+
+
 def plan_summaries(runs: DataFrame, json_col: str = "plan_json",
-                   keep: tuple[str, ...] = ("run_id",)) -> DataFrame:
-    """One row per parsable document: node_count, root type and cost, timings.
+                   keep: tuple[str, ...] = ("run_id",), with_nodes: bool = False) -> DataFrame:
+    """One row per parsable document: node_count, root type and cost, timings,
+    and with ``with_nodes`` the pre-order array of its nodes (node_ord,
+    node_type, relation, estimated_cost, estimated_rows, actual_time_ms) --
+    the size of one document, used to compare runs position by position.
 
     Reads each document once and does not explode it (used by the diff)."""
-    parsed = _with_nodes(parse_plan_documents(runs, json_col), json_col)
-    root = F.col("_root")
-    return parsed.where(F.col("parse_status") == "ok").select(
+    text = F.col(json_col)
+    doc = runs.select(*keep, text.alias("_text"), F.try_parse_json(text).alias("_v"))
+    top = doc.select(*keep, "_text",
+                     F.coalesce(F.try_variant_get(F.col("_v"), "$[0]", "variant"), F.col("_v")).alias("_top"))
+    root = top.select(*keep, "_text", "_top", F.try_variant_get(F.col("_top"), "$.Plan", "variant").alias("_root")) \
+        .where(F.col("_root").isNotNull() & ~F.is_variant_null(F.col("_root")))
+    cols = [
         *keep,
-        F.size("_nodes").cast("bigint").alias("node_count"),
-        normalize_node_type(_get(root, K_NODE_TYPE, "string")).alias("root_node_type"),
-        F.coalesce(_get(root, K_TOTAL_COST, "double"), F.lit(0.0)).alias("root_cost"),
-        F.col("planning_time_ms"),
-        F.col("execution_time_ms_doc").alias("execution_time_ms"),
-    )
+        normalize_node_type(_get(F.col("_root"), K_NODE_TYPE, "string")).alias("root_node_type"),
+        F.coalesce(_get(F.col("_root"), K_TOTAL_COST, "double"), F.lit(0.0)).alias("root_cost"),
+        _get(F.col("_top"), K_PLANNING_TIME, "double").alias("planning_time_ms"),
+        _get(F.col("_top"), K_EXECUTION_TIME, "double").alias("execution_time_ms"),
+    ]
+    if not with_nodes:
+        return root.select(*cols[:len(keep)],
+                           _count_nodes(F.col("_root"), F.col("_text")).cast("bigint").alias("node_count"),
+                           *cols[len(keep):])
+    nodes = F.transform(_fold_nodes(F.col("_root"), F.col("_text")), lambda x, i: F.struct(
+        (i + 1).cast("bigint").alias("node_ord"),
+        normalize_node_type(_get(x["node"], K_NODE_TYPE, "string")).alias("node_type"),
+        _get(x["node"], K_RELATION, "string").alias("relation"),
+        F.coalesce(_get(x["node"], K_TOTAL_COST, "double"), F.lit(0.0)).alias("estimated_cost"),
+        F.coalesce(_get(x["node"], K_PLAN_ROWS, "double"), F.lit(0.0)).alias("estimated_rows"),
+        _get(x["node"], K_ACTUAL_TIME, "double").alias("actual_time_ms"),
+    ))
+    with_arr = root.select(*cols, nodes.alias("nodes"))
+    return with_arr.select(*keep, F.size("nodes").cast("bigint").alias("node_count"),
+                           *[c for c in with_arr.columns if c not in keep])
 
 
 def trim_plan_documents(runs: DataFrame, json_col: str = "plan_json",
