@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from checkup.operators.history import previous_runs
 from checkup.plans.flatten import plan_summaries
+from checkup.session import materialize
 
 # Verdict names and the +-10% band of "no meaningful change".
 FASTER, SLOWER, SAME, STRUCTURE_CHANGED = "FASTER", "SLOWER", "SAME", "STRUCTURE_CHANGED"
@@ -88,15 +89,21 @@ def _paired(summ: DataFrame, with_nodes: bool) -> DataFrame:
 
 
 def diff_runs(runs: DataFrame | None, json_col: str = "plan_json",
-              summaries: DataFrame | None = None) -> DataFrame:
+              summaries: DataFrame | None = None, materialize_summaries: bool = True) -> DataFrame:
     """Every run with its previous run of the same query and the verdict.
 
     First runs are kept with ``prev_run_id``, ``verdict`` and the other diff
     columns null. Columns: run_id, query_hash, git_ref, prev_run_id, verdict,
-    aligned, node counts, times, metrics and metric kinds. One shuffle (by
-    query and run range); each document is parsed once."""
-    summ = summaries if summaries is not None else run_summaries(runs, json_col)
-    v = _verdict(_paired(summ, with_nodes=False))
+    aligned, node counts, times, metrics and metric kinds.
+
+    Documents are parsed once into per-run summaries, which are written to
+    the shared folder (``materialize_summaries``) because the ordered window
+    reads them twice; then one shuffle by (query, run range)."""
+    if summaries is None:
+        summaries = run_summaries(runs, json_col)
+        if materialize_summaries:
+            summaries = materialize(summaries, "run-summaries")
+    v = _verdict(_paired(summaries, with_nodes=False))
     return _diff_columns(v)
 
 
@@ -118,13 +125,15 @@ def _diff_columns(v: DataFrame) -> DataFrame:
         F.col("metric_after_kind"))
 
 
-def node_deltas(runs: DataFrame, json_col: str = "plan_json") -> DataFrame:
+def node_deltas(runs: DataFrame, json_col: str = "plan_json", materialize_summaries: bool = True) -> DataFrame:
     """For each run aligned with its previous run (same node count), one row
     per node position: after's type, relation (after's or else before's),
     estimated cost / rows and actual time of both sides, and whether the
     normalised type changed. The previous run's node list travels with the
     ordered window, so nodes are never joined across runs."""
     summ = run_summaries(runs, json_col, with_nodes=True)
+    if materialize_summaries:
+        summ = materialize(summ, "run-node-lists")
     p = _paired(summ, with_nodes=True)
     aligned = p.where(F.col("prev_run_id").isNotNull() & (F.col("a_node_count") == F.col("b_node_count")))
     z = aligned.select("run_id", "prev_run_id",

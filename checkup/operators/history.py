@@ -43,8 +43,8 @@ def sequence_within(df: DataFrame, key: str, order: str, *, carry: tuple[str, ..
 
     Rows are windowed per (key, order range); the last row of each range and
     the range sizes form a small per-range table that links ranges in order.
-    The per-range table and the rows come from one shuffle (the exchange is
-    reused), so the input is computed once.
+    The input is read twice (rows and per-range table); pass a materialised
+    table (``checkup.session.materialize``) when it is costly to compute.
     """
     b = F.floor(F.col(order) / bucket_width).cast("bigint")
     payload = F.struct(*[F.col(c) for c in (order, *carry)])

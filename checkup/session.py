@@ -53,3 +53,17 @@ def shared_dir(spark: SparkSession) -> str:
 def new_work_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-path of the shared folder for one job's tables."""
     return f"{shared_dir(spark)}/checkup-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as parquet under the shared folder and read it back.
+
+    Used for intermediates that several branches of a plan read (column
+    statistics, per-run plan summaries): they are computed once, and the
+    lineage is cut, so a lost executor does not send work back to the
+    sources. (A reliable ``checkpoint()`` would compute an unpersisted input
+    twice.)"""
+    spark = df.sparkSession
+    path = new_work_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
