@@ -93,3 +93,13 @@ def previous_runs(runs: DataFrame, key: str = "query_hash", order: str = "run_id
     """H5: each run with ``prev_run_id``, the latest earlier run of its query
     (null on the first run), and ``prev_<c>`` for carried columns."""
     return sequence_within(runs, key, order, carry=carry).drop("pos_asc", "pos_desc")
+
+
+def assign_run_ids(new_runs: DataFrame, start_after: int, order_cols: tuple[str, ...] = ("recorded_at",)) -> DataFrame:
+    """H2: ``run_id`` for runs that arrive without one, increasing in
+    ``order_cols`` order and above ``start_after`` (the largest stored id).
+
+    A range-partitioned sort then ``monotonically_increasing_id``: ids grow
+    with the order and no task sees all runs (ids may have gaps)."""
+    ordered = new_runs.orderBy(*order_cols)
+    return ordered.withColumn("run_id", F.monotonically_increasing_id() + F.lit(int(start_after) + 1))

@@ -69,11 +69,19 @@ def plan_runs_from_orders(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         F.when(lm4 == 0, F.col("l_partkey")).alias("Sort Space Used"),
         grandchild.alias("Plans"),
     )
-    kids = (lineitem.groupBy("l_orderkey")
-            .agg(F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in LINE_ORDER],
-                                                      child.alias("node")))).alias("_lines"))
-            .select("l_orderkey", F.transform("_lines", lambda x: x["node"]).alias("children")))
-    runs = orders.join(kids, orders["o_orderkey"] == kids["l_orderkey"], "left")
+    # One shuffle, no join: order rows and line rows meet in one group per
+    # order key (an order and its few lines), lines sorted inside the group.
+    line = F.struct(*[F.col(c) for c in LINE_ORDER], child.alias("node"))
+    order = F.struct("o_custkey", "o_totalprice", "o_orderdate")
+    o_side = orders.select(F.col("o_orderkey").alias("_k"), order.alias("_o"))
+    l_side = lineitem.select(F.col("l_orderkey").alias("_k"), line.alias("_l"))
+    both = o_side.withColumn("_l", F.lit(None).cast(l_side.schema["_l"].dataType)).unionByName(
+        l_side.withColumn("_o", F.lit(None).cast(o_side.schema["_o"].dataType)))
+    runs = (both.groupBy("_k")
+            .agg(F.max("_o").alias("_o"), F.array_sort(F.collect_list("_l")).alias("_lines"))
+            .where(F.col("_o").isNotNull())
+            .select(F.col("_k").alias("o_orderkey"), "_o.*",
+                    F.when(F.size("_lines") > 0, F.transform("_lines", lambda x: x["node"])).alias("children")))
     exec_ms = F.when(F.col("o_orderkey") % 5 == 0, F.lit(None).cast("double")) \
         .otherwise(F.col("o_totalprice") / 1000)
     root = F.struct(
