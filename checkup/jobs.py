@@ -18,7 +18,7 @@ from checkup.operators.findings import flat_findings
 from checkup.operators.infer import infer_constraints
 from checkup.operators.profile import column_profile, distinct_values, orphan_ratios
 from checkup.plans.flatten import flatten_plans, split_plan_documents, trim_plan_documents
-from checkup.sinks.report import ddl_lines, report_lines
+from checkup.sinks.report import ddl_lines, infer_report_lines, report_lines
 from checkup.sources import derived
 from checkup.sources.catalog import Catalog
 from checkup.sources.tables import load_tables
@@ -106,6 +106,11 @@ def q_infer_all_sampled(spark, sf_dir):
                         sample_keys=FK_SAMPLE_KEYS)
 
 
+def q_infer_report(spark, sf_dir):
+    t = derived.fk_tables(spark, sf_dir)
+    return infer_report_lines(infer_constraints(t, derived.fk_catalog(spark, t))).select("line")
+
+
 def q_ddl_script(spark, sf_dir):
     t = derived.fk_tables(spark, sf_dir)
     return ddl_lines(infer_constraints(t, derived.fk_catalog(spark, t))).select("statement")
@@ -232,6 +237,7 @@ JOBS = {
     "infer_all": q_infer_all,
     "infer_all_sampled": q_infer_all_sampled,
     "ddl_script": q_ddl_script,
+    "infer_report": q_infer_report,
     "plan_nodes": q_plan_nodes,
     "plan_roundtrip": q_plan_roundtrip,
     "plan_documents": q_plan_documents_ok,

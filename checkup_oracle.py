@@ -303,6 +303,12 @@ def _ddl_script() -> str:
     return f"SELECT suggestion_sql || ';' AS statement FROM ({inner}) x WHERE suggestion_sql IS NOT NULL"
 
 
+def _infer_report() -> str:
+    inner = _infer_fk(["not_null", "unique", "enum", "fk"])
+    return (f"SELECT severity || ': ' || title || CASE WHEN suggestion_sql IS NOT NULL "
+            f"THEN chr(10) || '    ' || suggestion_sql || ';' ELSE '' END AS line FROM ({inner}) x")
+
+
 def _profile(sampled: bool) -> str:
     cols = ("table_name, column_name, column_ordinal, data_type, row_count, scanned_rows, null_count, "
             "distinct_count, sampled")
@@ -498,6 +504,7 @@ def oracle_sql() -> dict[str, str]:
         "infer_all": _infer_fk(["not_null", "unique", "enum", "fk"]),
         "infer_all_sampled": _infer_fk(["not_null", "unique", "enum", "fk"], sampled=True),
         "ddl_script": _ddl_script(),
+        "infer_report": _infer_report(),
         "plan_nodes": _plan(f"SELECT {_NODE_COLS} FROM nodes"),
         "plan_roundtrip": _plan(f"SELECT {_NODE_COLS} FROM nodes"),
         "plan_documents": _plan("SELECT run_id, planning_time_ms, execution_time_ms FROM runs"),

@@ -45,8 +45,10 @@ def test_ddl_and_reports(spark, workdir):
     text = "".join(open(os.path.join(workdir, "ddl", p)).read() for p in sorted(os.listdir(os.path.join(workdir, "ddl")))
                    if p.startswith("part-"))
     assert text.index("SET NOT NULL") < text.index("UNIQUE")
-    empty = infer_report_lines(f.limit(0)).collect()
+    empty = infer_report_lines(f.limit(0), empty_marker=True).collect()
     assert [r.line for r in empty] == ["No candidate constraints found."]
+    write_report(f.limit(0), os.path.join(workdir, "empty"))
+    assert [r.value for r in spark.read.text(os.path.join(workdir, "empty")).collect()] == ["No findings."]
     assert flat_findings(f).where("table_name = 'e'").count() == 0
 
 
