@@ -17,8 +17,8 @@ from pyspark.sql.window import Window
 from checkup.functions.fingerprint import query_hash
 from checkup.functions.text import redact_credentials
 
-# Width of a run_id range that is ordered in one window partition.
-BUCKET_WIDTH = 1 << 20
+# About this many runs of one query are ordered in one window partition.
+ROWS_PER_BUCKET = 1 << 18
 
 
 def with_fingerprint(runs: DataFrame, text_col: str = "query_text", out_col: str = "query_hash") -> DataFrame:
@@ -35,21 +35,29 @@ def redact_log(runs: DataFrame, cols: tuple[str, ...] = ("query_text",)) -> Data
 
 
 def sequence_within(df: DataFrame, key: str, order: str, *, carry: tuple[str, ...] = (),
-                    bucket_width: int = BUCKET_WIDTH) -> DataFrame:
+                    rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Adds, per row, within its ``key`` group ordered by ``order`` (unique):
     ``prev_<order>`` and ``prev_<c>`` for each carried column ``c`` (values of
     the previous row, null on the first), ``pos_asc`` (1 = first) and
     ``pos_desc`` (1 = last).
 
-    Rows are windowed per (key, order range); the last row of each range and
-    the range sizes form a small per-range table that links ranges in order.
-    The input is read twice (rows and per-range table); pass a materialised
-    table (``checkup.session.materialize``) when it is costly to compute.
+    A group never goes to one task whole. Each group's ``order`` range is cut
+    into about count / ``rows_per_bucket`` equal ranges (from a per-key min /
+    max / count aggregate, so sparse ids still give full buckets). Rows are
+    windowed per (key, range); the last row and the size of each range form a
+    small per-range table that links ranges in order. The input is read
+    twice; pass a materialised table (``checkup.session.materialize``) when it
+    is costly to compute.
     """
-    b = F.floor(F.col(order) / bucket_width).cast("bigint")
+    per_key = df.groupBy(key).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"),
+                                  F.count(F.lit(1)).alias("_n"))
+    buckets = F.ceil(F.col("_n") / F.lit(rows_per_bucket))
+    width = F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / buckets)).cast("bigint")
+    per_key = per_key.select(key, "_lo", width.alias("_w"))
+    b = F.floor((F.col(order) - F.col("_lo")) / F.col("_w")).cast("bigint")
     payload = F.struct(*[F.col(c) for c in (order, *carry)])
     inb = Window.partitionBy(key, "_b").orderBy(order)
-    rows = (df.withColumn("_b", b)
+    rows = (df.join(per_key, key, "inner").withColumn("_b", b).drop("_lo", "_w")
             .withColumn("_prev_in", F.lag(payload).over(inb))
             .withColumn("_pos_in", F.row_number().over(inb).cast("bigint")))
     byb = Window.partitionBy(key).orderBy("_b")

@@ -93,9 +93,10 @@ def test_sequence_within_matches_plain_window(spark):
     rows = []
     for i in range(400):
         key = "hot" if rnd.random() < 0.6 else f"k{rnd.randrange(20)}"
-        rows.append((key, i * 3 + rnd.randrange(3), float(rnd.randrange(100))))
+        # sparse, uneven ids: gaps up to 1000
+        rows.append((key, i * 1000 + rnd.randrange(1000), float(rnd.randrange(100))))
     df = spark.createDataFrame(rows, "k string, o long, v double")
-    got = H.sequence_within(df, "k", "o", carry=("v",), bucket_width=7)
+    got = H.sequence_within(df, "k", "o", carry=("v",), rows_per_bucket=7)
     w = Window.partitionBy("k").orderBy("o")
     want = df.select("k", "o", F.lag("o").over(w).alias("prev_o"), F.lag("v").over(w).alias("prev_v"),
                      F.row_number().over(w).alias("pos_asc"),
