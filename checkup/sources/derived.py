@@ -45,8 +45,8 @@ def plan_runs_from_orders(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     name a relation by return flag. A Sort holds one Seq Scan on orders.
     """
     lm4 = F.col("l_linenumber") % 4
-    node_type = F.element_at(F.create_map(*[F.lit(x) for kv in CHILD_TYPE_BY_LINE_MOD4.items() for x in kv]), lm4)
-    relation = F.when(lm4.isin(1, 2), F.element_at(
+    node_type = F.try_element_at(F.create_map(*[F.lit(x) for kv in CHILD_TYPE_BY_LINE_MOD4.items() for x in kv]), lm4)
+    relation = F.when(lm4.isin(1, 2), F.try_element_at(
         F.create_map(*[F.lit(x) for kv in RELATION_BY_FLAG.items() for x in kv]), F.col("l_returnflag")))
     actual_rows = F.when(F.col("l_linenumber") == 7, F.lit(None).cast("double")) \
         .when(F.col("l_suppkey") % 10 == 0, F.lit(0.0)) \
