@@ -60,11 +60,13 @@ class RegressionWatch:
     def _prior(self, spark: SparkSession, batch_id: int) -> DataFrame:
         if batch_id == 0:
             return spark.createDataFrame([], _STATE_SCHEMA)
+        # Read only the previous batch's partition: listing stays O(1) however
+        # many batches the watch has run.
         try:
-            snap = spark.read.parquet(self.state)
+            snap = spark.read.schema(_STATE_SCHEMA).parquet(f"{self.state}/batch_id={batch_id - 1}")
         except Exception:  # noqa: BLE001 -- no snapshot written yet
             return spark.createDataFrame([], _STATE_SCHEMA)
-        return snap.where(F.col("batch_id") == batch_id - 1).select(*_STATE_COLS)
+        return snap.select(*_STATE_COLS)
 
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
