@@ -145,6 +145,7 @@ def _raw_fields(node: Column) -> list[Column]:
         _get(node, K_LOOPS, "double").alias("_loops"),
         _get(node, K_SORT_METHOD, "string").alias("sort_method"),
         _get(node, K_SORT_SPACE, "string").alias("sort_space_used"),
+        F.to_json(_get(node, K_SORT_SPACE, "variant")).alias("sort_space_json"),
     ]
 
 
@@ -169,6 +170,7 @@ def _derived_fields() -> list[Column]:
         F.col("max_child_loops"),
         F.col("sort_method"),
         F.col("sort_space_used"),
+        F.col("sort_space_json"),
     ]
 
 
@@ -186,8 +188,9 @@ def flatten_plans(runs: DataFrame, json_col: str = "plan_json",
     node_type_raw, node_type, relation, estimated_rows, actual_rows (per loop),
     estimated_cost, actual_time_ms, loops, total_actual_rows,
     misestimate_factor, child_count, max_child_loops, sort_method,
-    sort_space_used, heat, and ``raw`` (the node as VARIANT) if asked.
-    A map-side pass: no shuffle, no window.
+    sort_space_used (as text) and sort_space_json (the raw JSON value), heat,
+    and ``raw`` (the node as VARIANT) if asked. A map-side pass: no shuffle,
+    no window.
     """
     roots = _root_only(runs, json_col, keep)
     nodes = F.when(F.col("_root").isNotNull(), _fold_nodes(F.col("_root"), F.col("_text")))

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 
 from checkup.operators import advise as A
@@ -60,10 +62,13 @@ def test_sort_spill(spark):
     f = flat_findings(A.advise(_nodes(spark, d))).first()
     assert f.rule_id == "advisor.sort_spill" and f.severity == "SUGGEST"
     assert "(~20480 kB on disk)" in f.detail
+    ev = json.loads(A.advise(_nodes(spark, d)).first().evidence)
+    assert ev == {"sort_method": "external MERGE", "space_kb": 20480}
     mem = P.doc(P.node("Sort", 10, 1.0, **{"Sort Method": "quicksort", "Sort Space Used": 25}))
     assert A.advise(_nodes(spark, mem)).count() == 0
     no_space = P.doc(P.node("Sort", 10, 1.0, **{"Sort Method": "external sort"}))
     assert "(~None kB on disk)" in flat_findings(A.advise(_nodes(spark, no_space))).first().detail
+    assert json.loads(A.advise(_nodes(spark, no_space)).first().evidence)["space_kb"] is None
 
 
 def test_nested_loop(spark):
