@@ -6,8 +6,11 @@ root cost; before null/0 or after null -> SAME; after < 0.9 x before -> FASTER;
 after > 1.1 x before -> SLOWER; else SAME. Node deltas pair nodes by pre-order
 position for aligned pairs only.
 
-All joins are on ``run_id`` (unique per run) or (run_id, node_ord), so no key
-is hot; documents are read once into per-run summaries.
+Documents are parsed once into per-run summaries (node count, root cost,
+execution time, and for D2 the pre-order node list), written once to the
+shared folder. The previous run's summary travels with the skew-safe ordered
+window of ``history.sequence_within``, so the pairing needs no self-join on
+the query key. Explicit pairs (D3) join on ``run_id``, which is unique.
 """
 
 from __future__ import annotations
