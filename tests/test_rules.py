@@ -152,3 +152,9 @@ def test_user_rule_runtime_error_isolated(spark):
     f = A.advise(_nodes(spark, P.SLOW), extra_rules=[A.UserRule("user.late", fails_late)], isolate=True)
     late = [r for r in f.collect() if r.rule_id == "user.late"]
     assert len(late) == 1 and late[0].title == "Advisor user.late failed"
+
+
+def test_row_estimate_empty_relation_uses_type(spark):
+    d = P.doc(P.node("Seq Scan", 1, 1.0, relation="", actual=500, loops=1))
+    f = flat_findings(A.advise(_nodes(spark, d), rules=[A.ROW_ESTIMATE])).first()
+    assert f.location_identifier == "SEQ_SCAN" and f.suggestion_note == "Run ANALYZE on the involved tables."
