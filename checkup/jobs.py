@@ -163,7 +163,7 @@ def q_advise_all(spark, sf_dir):
 
 def q_findings_rollup(spark, sf_dir):
     nodes, cat = _nodes_and_catalog(spark, sf_dir)
-    return A.findings_rollup(A.advise(nodes, cat)).select(
+    return A.findings_rollup(A.advise(nodes, cat, columns=A.ROLLUP_COLUMNS)).select(
         "rule_id", "severity", "identifier", F.col("findings").cast("bigint"))
 
 

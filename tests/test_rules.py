@@ -120,6 +120,9 @@ def test_rollup(spark):
     f = A.advise(_nodes(spark, P.SLOW, P.SLOW, P.BIG_SCAN))
     got = {(r.rule_id, r.identifier): r.findings for r in A.findings_rollup(f).collect()}
     assert got == {("advisor.row_estimate", "customers"): 2, ("advisor.seq_scan", "orders"): 1}
+    lean = A.advise(_nodes(spark, P.SLOW, P.SLOW, P.BIG_SCAN), columns=A.ROLLUP_COLUMNS)
+    assert lean.columns == A.ROLLUP_COLUMNS
+    assert {(r.rule_id, r.identifier): r.findings for r in A.findings_rollup(lean).collect()} == got
 
 
 def test_user_rules(spark):
