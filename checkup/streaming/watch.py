@@ -37,14 +37,11 @@ _STATE_SCHEMA = T.StructType([
 
 
 def _overwrite_partition(df: DataFrame, path: str, batch_id: int) -> None:
-    spark = df.sparkSession
-    old = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        (df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-         .write.mode("overwrite").partitionBy("batch_id").parquet(path))
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
+    """Replace only partition ``batch_id=<id>`` of ``path`` (write option, so
+    the session's settings are untouched)."""
+    (df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch_id").parquet(path))
 
 
 @dataclass
