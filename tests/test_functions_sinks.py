@@ -59,3 +59,9 @@ def test_record_runs_replay_does_not_double(spark, workdir):
     record_runs(a, path, 0)
     record_runs(a.withColumn("run_id", F.col("run_id") + 10), path, 1)
     assert spark.read.parquet(path).count() == 4
+
+
+def test_redact_log_columns(spark):
+    from checkup.operators.history import redact_log
+    runs = spark.createDataFrame([(1, "COPY x FROM 'postgres://etl:hunter2@db/x'")], "run_id long, query_text string")
+    assert redact_log(runs).first().query_text == "COPY x FROM 'postgres://etl:***@db/x'"

@@ -161,3 +161,21 @@ def test_row_estimate_empty_relation_uses_type(spark):
     d = P.doc(P.node("Seq Scan", 1, 1.0, relation="", actual=500, loops=1))
     f = flat_findings(A.advise(_nodes(spark, d), rules=[A.ROW_ESTIMATE])).first()
     assert f.location_identifier == "SEQ_SCAN" and f.suggestion_note == "Run ANALYZE on the involved tables."
+
+
+def test_user_rule_reads_raw_node(spark):
+    from pyspark.sql import functions as F
+
+    def workers(nodes, catalog):
+        launched = F.try_variant_get("raw", '$["Workers Launched"]', "int")
+        planned = F.try_variant_get("raw", '$["Workers Planned"]', "int")
+        return nodes.where(launched < planned).select(
+            F.lit("INFO").alias("severity"), F.lit("fewer workers than planned").alias("title"),
+            F.format_string("%d of %d workers", launched, planned).alias("detail"), "run_id", "node_ord")
+
+    d = P.doc(P.node("Gather", 1, 1.0, **{"Workers Planned": 4, "Workers Launched": 2}))
+    runs = spark.createDataFrame([(0, d)], "run_id long, plan_json string")
+    nodes = flatten_plans(runs, with_raw=True)
+    f = [r for r in A.advise(nodes, extra_rules=[A.UserRule("user.workers", workers)]).collect()
+         if r.rule_id == "user.workers"]
+    assert len(f) == 1 and f[0].detail == "2 of 4 workers" and f[0].node_ord == 1
