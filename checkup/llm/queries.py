@@ -12,6 +12,12 @@ def _vocab(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard_join(spark, sf_dir):
+    from checkup.llm.jaccard_join import similarity_components
+
+    return similarity_components(read_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark, sf_dir):
     from checkup.llm.quality_rules import quality_rows
 
@@ -31,9 +37,24 @@ def op6_best_fit_packing(spark, sf_dir):
     return pack_documents(read_table(spark, sf_dir, "documents"), _vocab("word_bpe_49k.json"))
 
 
+def op5_secret_scans(spark, sf_dir):
+    from checkup.llm.secrets import secret_rows
+
+    return secret_rows(read_table(spark, sf_dir, "documents"))
+
+
+def op9_byte_level_bpe(spark, sf_dir):
+    from checkup.llm.byte_bpe import round_trip
+
+    return round_trip(read_table(spark, sf_dir, "documents"), _vocab("byte_bpe_multi_50k.tiktoken"))
+
+
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_counts": op4_token_counts,
+    "op5_secret_scans": op5_secret_scans,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op9_byte_level_bpe": op9_byte_level_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
