@@ -27,8 +27,11 @@ from pyspark.sql import functions as F
 from checkup.llm.chunk_tokenizer import memo_encoder
 from checkup.llm.common import ship, text_batches
 
-SALTS = 16
-CACHE_SCHEMA = "version string, digest string, n_tokens long"
+CACHE_SCHEMA = "version string, digest binary, n_tokens long"
+
+
+def _digest(text: str = "text"):
+    return F.unhex(F.sha2(text, 256))
 
 
 def tokenizer_version(path: str) -> str:
@@ -58,7 +61,7 @@ def encode_misses(misses: DataFrame, tokenizer_path: str) -> DataFrame:
                 [b.column(0), pa.array(count(b.column(1).to_pylist()), pa.int64())],
                 names=["digest", "n_tokens"])
 
-    return misses.select("digest", "text").mapInArrow(run, "digest string, n_tokens long")
+    return misses.select("digest", "text").mapInArrow(run, "digest binary, n_tokens long")
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 512,
@@ -70,7 +73,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     version = tokenizer_version(tokenizer_path)
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    keyed = base.select(F.sha2("text", 256).alias("digest"), "text")
+    keyed = base.select(_digest().alias("digest"), "text")
     distinct = keyed.groupBy("digest").agg(F.first("text").alias("text"))
     # makes sure that the cache table exists
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache_path)
@@ -79,12 +82,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     (encode_misses(misses, tokenizer_path)
      .select(F.lit(version).alias("version"), "digest", "n_tokens")
      .write.mode("append").parquet(cache_path))
-    # a digest with many documents is dealt over SALTS partitions
-    counts = (read_cache(spark, cache_path, version)
-              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
-    rows = base.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"),
-                       F.sha2("text", 256).alias("digest"),
-                       F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    return (rows.join(counts, ["digest", "salt"], "left")
+    # small rows; a digest with many documents is a skewed join that AQE splits
+    rows = base.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), _digest().alias("digest"))
+    return (rows.join(read_cache(spark, cache_path, version), "digest", "left")
             .select("doc_id", "n_bytes", "n_tokens",
                     (F.col("n_tokens") > limit).alias("over_limit"), "digest"))
