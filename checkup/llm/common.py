@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from checkup.session import materialize
 
+BITMAP = 1 << 23  # bits of the semi-join filter (1 MB)
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -97,3 +98,21 @@ def _mark(edges: DataFrame) -> tuple:
     r = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")),
                   F.bit_xor(F.xxhash64("b", "a"))).first()
     return tuple(r)
+
+
+def bitmap_filter(df: DataFrame, ids: DataFrame, col: str) -> DataFrame:
+    """Rows of ``df`` whose ``col`` may be among ``ids``: a bitmap of fixed size
+    (``BITMAP`` bits, whatever the input) is broadcast, so that a join after it
+    shuffles fewer rows."""
+    h = F.pmod(F.xxhash64(F.col(col)), F.lit(BITMAP))
+    maps = (ids.select(h.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")))
+    return (df.withColumn("bucket", F.bitmap_bucket_number(h))
+            .join(F.broadcast(maps), "bucket")
+            .where(F.getbit(_byte_at(h), F.pmod(F.bitmap_bit_position(h), F.lit(8)).cast("int")) == 1)
+            .drop("bucket", "bits"))
+
+
+def _byte_at(h):
+    at = F.floor(F.bitmap_bit_position(h) / 8).cast("int") + 1
+    return F.conv(F.hex(F.substring(F.col("bits"), at, F.lit(1))), 16, 10).cast("int")

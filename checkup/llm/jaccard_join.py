@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from checkup.llm.common import components, ship, text_batches
+from checkup.llm.common import bitmap_filter, components, ship, text_batches
 from checkup.llm.shingles import set_digest, shingle_sets
 from checkup.session import materialize
 
@@ -52,7 +52,6 @@ WIDTH, NUM, DEN = 5, 80, 100
 SAMPLE_SHARE = 0.3  # of the hash range; above 1 - NUM / DEN, so that it covers a prefix
 KEY_BITS = 48  # sample tokens are shuffled as the upper 48 of 63 bits
 SALTS = 8
-BITMAP = 1 << 23  # bits of the fixed-size semi-join filter (1 MB)
 
 
 def prefix_length(n, num: int = NUM, den: int = DEN):
@@ -97,24 +96,6 @@ def _node_key(col="doc_id"):
     return F.coalesce(F.col(col), F.lit(-1)).alias("kid")
 
 
-def _bitmap_filter(df: DataFrame, ids: DataFrame, col: str) -> DataFrame:
-    """Rows of ``df`` whose ``col`` may be among ``ids``: a bitmap of fixed size
-    (``BITMAP`` bits, whatever the input) is broadcast, so that a join after it
-    shuffles fewer rows."""
-    h = F.pmod(F.xxhash64(F.col(col)), F.lit(BITMAP))
-    maps = (ids.select(h.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")))
-    return (df.withColumn("bucket", F.bitmap_bucket_number(h))
-            .join(F.broadcast(maps), "bucket")
-            .where(F.getbit(_byte_at(h), F.pmod(F.bitmap_bit_position(h), F.lit(8)).cast("int")) == 1)
-            .drop("bucket", "bits"))
-
-
-def _byte_at(h):
-    at = F.floor(F.bitmap_bit_position(h) / 8).cast("int") + 1
-    return F.conv(F.hex(F.substring(F.col("bits"), at, F.lit(1))), 16, 10).cast("int")
-
-
 def fetch_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """``d, n, tokens`` of the nodes ``wanted`` (``d, kid``); the text of one
     document per node is read again."""
@@ -128,7 +109,7 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text
                  pa.array(sets, pa.list_(pa.int64()))], schema=schema)
 
     base = docs.select(_node_key(id_col), F.col(text_col).alias("text"))
-    near = _bitmap_filter(base, wanted.select("kid"), "kid")
+    near = bitmap_filter(base, wanted.select("kid"), "kid")
     texts = near.join(wanted.select("kid").distinct(), "kid", "left_semi").select("text")
     return (texts.mapInArrow(run, "d long, n long, tokens array<long>")
             .join(wanted.select("d"), "d", "left_semi").dropDuplicates(["d"]))
@@ -173,7 +154,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     left = materialize(nodes.join(own, "d", "left").where(F.coalesce("alone", F.lit(0)) < p)
                        .select("d", "kid", "n"), "jaccard-nodes")
     # 3. frequency-order prefixes of the nodes left
-    rows = (_bitmap_filter(sig.where("n > 0").withColumn("kid", _node_key()), left.select("kid"), "kid")
+    rows = (bitmap_filter(sig.where("n > 0").withColumn("kid", _node_key()), left.select("kid"), "kid")
             .join(left.select("d", "kid"), ["d", "kid"], "left_semi")
             .dropDuplicates(["d"]).select("d", "n", "keys"))
     keys = materialize(rows.select("d", "n", F.size(F.filter("keys", lambda k: k < limit)).alias("n_sample"),

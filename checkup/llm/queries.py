@@ -18,6 +18,12 @@ def op1_ngram_jaccard_join(spark, sf_dir):
     return similarity_components(read_table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark, sf_dir):
+    from checkup.llm.line_dedup import line_rows
+
+    return line_rows(read_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark, sf_dir):
     from checkup.llm.quality_rules import quality_rows
 
@@ -51,6 +57,7 @@ def op9_byte_level_bpe(spark, sf_dir):
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_line_dedup": op2_line_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_counts": op4_token_counts,
     "op5_secret_scans": op5_secret_scans,
