@@ -100,19 +100,29 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(r)
 
 
+def _with_bit(df: DataFrame, ids: DataFrame, col: str, out: str) -> DataFrame:
+    """``df`` with a flag: whether ``col`` may be among ``ids`` (same name). The
+    bitmap has a fixed size (``BITMAP`` bits, whatever the input) and is
+    broadcast."""
+    h = lambda: F.pmod(F.xxhash64(F.col(col)), F.lit(BITMAP))
+    maps = (ids.select(h().alias("h")).groupBy(F.bitmap_bucket_number("h").alias("__bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("__bits")))
+    place = F.bitmap_bit_position(h())
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return (df.withColumn("__bucket", F.bitmap_bucket_number(h()))
+            .join(F.broadcast(maps), "__bucket", "left")
+            .withColumn(out, F.col("__bits").isNotNull() & (F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1))
+            .drop("__bucket", "__bits"))
+
+
 def bitmap_filter(df: DataFrame, ids: DataFrame, col: str) -> DataFrame:
-    """Rows of ``df`` whose ``col`` may be among ``ids``: a bitmap of fixed size
-    (``BITMAP`` bits, whatever the input) is broadcast, so that a join after it
-    shuffles fewer rows."""
-    h = F.pmod(F.xxhash64(F.col(col)), F.lit(BITMAP))
-    maps = (ids.select(h.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")))
-    return (df.withColumn("bucket", F.bitmap_bucket_number(h))
-            .join(F.broadcast(maps), "bucket")
-            .where(F.getbit(_byte_at(h), F.pmod(F.bitmap_bit_position(h), F.lit(8)).cast("int")) == 1)
-            .drop("bucket", "bits"))
-
-
-def _byte_at(h):
-    at = F.floor(F.bitmap_bit_position(h) / 8).cast("int") + 1
-    return F.conv(F.hex(F.substring(F.col("bits"), at, F.lit(1))), 16, 10).cast("int")
+    """Rows of ``df`` whose ``col`` may be among ``ids``, so that an exact join
+    after it shuffles fewer rows."""
+    return _with_bit(df, ids, col, "__maybe").where("__maybe").drop("__maybe")
+
+
+def bitmap_split(df: DataFrame, ids: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two parts: rows whose ``col`` may be among ``ids``, and rows
+    whose ``col`` is surely not, which need no join and no shuffle."""
+    flagged = _with_bit(df, ids, col, "__maybe")
+    return flagged.where("__maybe").drop("__maybe"), flagged.where("NOT __maybe").drop("__maybe")

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from checkup.llm.common import bitmap_filter, components, ship, text_batches
+from checkup.llm.common import bitmap_filter, bitmap_split, components, ship, text_batches
 from checkup.llm.shingles import set_digest, shingle_sets
 from checkup.session import materialize
 
@@ -196,6 +196,19 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
                       F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest
+    id; exact repeats of a row's id and text go as well. Only documents that
+    may go are shuffled. Rows with a null id stay."""
+    comps = materialize(similarity_components(docs, id_col, text_col, **options), "jaccard-rows")
+    gone = comps.where("component_id <> doc_id").select(F.col("doc_id").alias("__key")).distinct()
+    twice = comps.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__key"))
+    keyed = docs.withColumn("__key", F.col(id_col).cast("long"))
+    maybe, sure = bitmap_split(keyed, gone.unionByName(twice), "__key")
+    left = maybe.join(gone, "__key", "left_anti").dropDuplicates([id_col, text_col])
+    return left.select(*docs.columns).unionByName(sure.select(*docs.columns))
+
+
 def _near(n: str, m: str, num: int, den: int):
     """Sizes that can link."""
     return ((F.least(n, m) * den) >= (F.greatest(n, m) * num))

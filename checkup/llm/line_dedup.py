@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checkup.llm.common import bitmap_filter, components
+from checkup.llm.common import bitmap_filter, bitmap_split, components
 from checkup.session import materialize
 
 MAX_EDITS, MIN_CHARS = 2, 20
@@ -230,18 +230,22 @@ def line_rows(docs: DataFrame, **options) -> DataFrame:
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the lines that are not kept; a document that had lines
-    and keeps none goes. All other columns stay as they are."""
-    dropped = (line_classes(docs, id_col=id_col, text_col=text_col, **options).where("NOT kept")
-               .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "line_no").distinct()
-               .groupBy("__id", "__hash").agg(F.array_sort(F.collect_set("line_no")).alias("__drop")))
+    and keeps none goes. All other columns stay as they are. Documents that
+    lose no line are not shuffled."""
+    dropped = materialize(
+        line_classes(docs, id_col=id_col, text_col=text_col, **options).where("NOT kept")
+        .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__key"), "line_no").distinct()
+        .groupBy("__id", "__key").agg(F.collect_set("line_no").alias("__drop")), "line-dropped")
     text = F.col(text_col)
-    joined = docs.withColumn("__key", F.xxhash64(text)).join(
-        dropped, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__hash")), "left")
+    maybe, whole = bitmap_split(docs.withColumn("__key", F.xxhash64(text)), dropped.select("__key"), "__key")
+    joined = maybe.withColumnRenamed("__key", "__own").join(
+        dropped, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left")
     # the dropped line numbers as a map, so that each line is one look-up
     gone = F.map_from_arrays(F.col("__drop"), F.transform("__drop", lambda _: F.lit(True)))
-    kept = F.filter(F.split(text, "\n"), lambda _, i: ~F.col("__gone")[i].isNotNull())
-    out = (joined.withColumn("__gone", gone)
-           .withColumn("__lines", F.when(F.col("__drop").isNotNull(), kept))
-           .where("__drop IS NULL OR exists(__lines, x -> btrim(x) <> '')"))
-    return out.withColumn(text_col, F.when(F.col("__drop").isNull(), text).otherwise(
-        F.array_join("__lines", "\n"))).select(*docs.columns)
+    kept = F.filter(F.split(text, "\n"), lambda _, i: F.col("__gone")[i].isNull())
+    changed = (joined.withColumn("__gone", gone)
+               .withColumn("__lines", F.when(F.col("__drop").isNotNull(), kept))
+               .where("__drop IS NULL OR exists(__lines, x -> btrim(x) <> '')"))
+    new = F.when(F.col("__drop").isNull(), text).otherwise(F.array_join("__lines", "\n"))
+    return (changed.withColumn(text_col, new).select(*docs.columns)
+            .unionByName(whole.select(*docs.columns)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from checkup.llm import jaccard_sql, knn_join, license_scan
 from checkup.llm.common import read_table
 from checkup.session import new_work_path
 
@@ -49,6 +50,24 @@ def op5_secret_scans(spark, sf_dir):
     return secret_rows(read_table(spark, sf_dir, "documents"))
 
 
+def op7_shard_shuffle(spark, sf_dir):
+    from checkup.llm.shard_shuffle import shard_rows
+
+    return shard_rows(read_table(spark, sf_dir, "documents"))
+
+
+def op8_license_scans(spark, sf_dir):
+    from checkup.llm.license_scan import license_rows
+
+    return license_rows(read_table(spark, sf_dir, "documents"))
+
+
+def op10_exact_top_k(spark, sf_dir):
+    from checkup.llm.knn_join import top_products
+
+    return top_products(read_table(spark, sf_dir, "embeddings"))
+
+
 def op9_byte_level_bpe(spark, sf_dir):
     from checkup.llm.byte_bpe import round_trip
 
@@ -62,6 +81,13 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_secret_scans": op5_secret_scans,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_shard_shuffle": op7_shard_shuffle,
+    "op8_license_scans": op8_license_scans,
+    "op10_exact_top_k": op10_exact_top_k,
     "op9_byte_level_bpe": op9_byte_level_bpe,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": jaccard_sql.ORACLE_SQL,
+    "op8_license_scans": license_scan.oracle_sql(),
+    "op10_exact_top_k": knn_join.ORACLE_SQL,
+}

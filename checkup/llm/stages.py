@@ -7,6 +7,7 @@ equal ``doc_id`` are one document to the stages that work by id.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from checkup.llm.common import read_table
 
@@ -26,6 +27,37 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return with_quality(docs, rules, out=out).where(f"{out}.kept").select(*docs.columns)
 
 
+def _recounted(docs: DataFrame, before: DataFrame) -> DataFrame:
+    """``n_chars`` (where there is one) as the length of the changed text."""
+    if "n_chars" not in docs.columns:
+        return docs
+    kind = before.schema["n_chars"].dataType
+    return docs.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars"))
+                           .otherwise(F.char_length("text").cast(kind)))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that stand (nearly) alike in an earlier place."""
+    from checkup.llm.line_dedup import without_repeats
+
+    return _recounted(without_repeats(docs), docs)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    from checkup.llm.jaccard_join import one_of_each
+
+    return one_of_each(docs)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with every secret masked."""
+    from checkup.llm.secrets import with_redacted
+
+    out = with_redacted(docs, out="__secrets")
+    return _recounted(out, docs).select(*docs.columns)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents' pieces, packed into sequences."""
     from checkup.llm.packing import pack_documents

@@ -10,6 +10,9 @@ from checkup.session import new_work_path
 #: (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame.
 STAGES = [
     ("quality_rules", stages.quality_rules),
+    ("line_dedup", stages.line_dedup),
+    ("ngram_jaccard_join", stages.ngram_jaccard_join),
+    ("secret_scans", stages.secret_scans),
     ("best_fit_packing", stages.best_fit_packing),
 ]
 
