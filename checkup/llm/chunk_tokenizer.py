@@ -17,7 +17,11 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
+import sys
+from array import array
+from itertools import islice
+
+import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
@@ -40,7 +44,7 @@ def load_tokenizer(path: str):
     return _FILE_MEMO[path]
 
 
-def memo_encoder(path: str, mode: str, what: str, max_entries: int = 300_000) -> "ChunkEncoder":
+def memo_encoder(path: str, mode: str, what: str, max_entries: int = 600_000) -> "ChunkEncoder":
     """One encoder per worker, file, mode and kind of result."""
     key = (path, mode, what)
     if key not in _FILE_MEMO:
@@ -49,16 +53,17 @@ def memo_encoder(path: str, mode: str, what: str, max_entries: int = 300_000) ->
 
 
 class ChunkEncoder:
-    """Token counts (``what="count"``) or ids (``what="ids"``) of texts."""
+    """Token counts (``what="count"``) or ids (``what="ids"``, as little-endian
+    unsigned 32-bit integers in bytes) of texts."""
 
-    def __init__(self, tokenizer, mode: str, what: str, max_entries: int = 300_000):
+    def __init__(self, tokenizer, mode: str, what: str, max_entries: int = 600_000):
         assert mode in ("word", "byte") and what in ("count", "ids")
         self.tokenizer, self.mode, self.what = tokenizer, mode, what
         self.max_entries, self.memo = max_entries, {}
 
     def _encode(self, pieces: list[str]) -> list:
         out = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [len(e) for e in out] if self.what == "count" else [tuple(e.ids) for e in out]
+        return [len(e) for e in out] if self.what == "count" else [_packed(e.ids) for e in out]
 
     def _pieces(self, text: str) -> list[str] | None:
         """The pieces of a text, or None where the cuts are not certain."""
@@ -71,13 +76,14 @@ class ChunkEncoder:
         # one mark in front of each piece: blank, line feed, or (first) none
         return ("\r" + text.replace("\n", " \n")).split(" ")
 
-    def _learn(self, pieces: set) -> None:
-        new = [p for p in pieces if p not in self.memo]
-        if not new:
-            return
+    def _learn(self, seen: set) -> None:
+        """Encode what the memo lacks. When it is full, the half that came first
+        stays: frequent pieces come early."""
+        new = seen.difference(self.memo)
         if len(self.memo) + len(new) > self.max_entries:
-            self.memo.clear()
-            new = list(pieces)
+            self.memo = dict(islice(self.memo.items(), self.max_entries // 2))
+            new = seen.difference(self.memo)
+        new = list(new)
         if self.mode == "byte":
             raw = [p[1:] if p.startswith("\r") else p if p.startswith("\n") else " " + p for p in new]
         else:
@@ -85,22 +91,23 @@ class ChunkEncoder:
         self.memo.update(zip(new, self._encode(raw)))
 
     def __call__(self, texts: list[str]) -> list:
-        """A count, or an iterator of ids, for each text."""
-        out = []
-        for text in texts:
-            if not text:
-                out.append(0 if self.what == "count" else iter(()))
-                continue
-            pieces = self._pieces(text)
+        """A count, or packed ids, for each text."""
+        cut = [self._pieces(t) for t in texts]
+        seen: set = set()
+        for pieces in cut:
+            if pieces is not None:
+                seen.update(pieces)
+        self._learn(seen)
+        get, out = self.memo.__getitem__, []
+        for text, pieces in zip(texts, cut):
             if pieces is None:
-                got = self._encode([text])[0]
-                out.append(got if self.what == "count" else iter(got))
-                continue
-            try:
-                got = list(map(self.memo.__getitem__, pieces))
-            except KeyError:
-                self._learn(set(pieces))
-                got = list(map(self.memo.__getitem__, pieces))
-            out.append(sum(got) if self.what == "count" else chain.from_iterable(got))
+                out.append(self._encode([text])[0])
+            elif self.what == "count":
+                out.append(sum(map(get, pieces)))
+            else:
+                out.append(b"".join(map(get, pieces)))
         return out
 
+
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes() if sys.byteorder == "big" else array("I", ids).tobytes()

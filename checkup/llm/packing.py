@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import zlib
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,15 +44,16 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
 
     def run(batches):
         encode = memo_encoder(tokenizer_path, "word", "ids")
+        end = end_id.to_bytes(4, "little")  # packed ids: four bytes each
         for b in text_batches(batches):
             cols = ([], [], [], [], [])
             texts = [t or "" for t in b.column(1).to_pylist()]
             for doc_id, ids in zip(b.column(0).to_pylist(), encode(texts)):
-                arr = np.fromiter(ids, dtype="<u4")
-                arr = np.append(arr, np.array([end_id], dtype="<u4"))
-                for k, at in enumerate(range(0, len(arr), capacity)):
-                    part = arr[at:at + capacity]
-                    for col, v in zip(cols, (doc_id, k, at, len(part), zlib.crc32(part.tobytes()))):
+                ids += end
+                n = len(ids) // 4
+                for k, at in enumerate(range(0, n, capacity)):
+                    part = ids[4 * at:4 * (at + capacity)]
+                    for col, v in zip(cols, (doc_id, k, at, len(part) // 4, zlib.crc32(part))):
                         col.append(v)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t.type) for c, t in zip(cols, _PIECES_PA)], schema=_PIECES_PA)
