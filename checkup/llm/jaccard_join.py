@@ -6,24 +6,26 @@ Two sets of sizes n and m with Jaccard similarity t or more share at least
 share one of each set's first ``p = n - ceil(t * n) + 1``. Three orders are
 used, and a candidate must pass all of them before its intersection is counted:
 
-* *frequency order*: tokens of a fixed hash range (the sample, a little more
-  than a prefix) by ascending document frequency, then all others by hash.
-  It makes the candidates: rare tokens stand first, so passages that many
-  documents share hardly ever reach a prefix;
+* *frequency order*: ascending document frequency, then the hash. It makes the
+  candidates: rare tokens stand first, so passages that many documents share
+  hardly ever reach a prefix. The shorter set of a pair is met in its first
+  ``n - ceil(2t / (1 + t) * n) + 1`` tokens only, and both must have enough
+  tokens left from the common token's position on (length and position filter);
 * *hash order* and *reversed hash order*, both ends of the sorted set.
 
 The steps:
 
 1. One pass hashes every text. Copies (equal sets) become one node.
-2. A sample token that only one node holds lies in no other set. A node with p
-   or more such tokens has no partner at all and leaves here; most do.
-3. Document frequencies of the sample tokens among the nodes left give the
-   frequency-order prefixes, and equal prefix tokens make groups.
-4. Each group's smallest node is compared with every member (linear in the
-   group). After components have been merged, only members outside the
-   component of their group's smallest node are compared with the others of a
-   different component. No group is expanded into all its pairs; a pair left
-   out is already in one component.
+2. Tokens of a fixed range of hashes (the sample) are counted: one that a single
+   node holds lies in no other set. A node with p or more such tokens has no
+   partner at all and leaves here; most do.
+3. The nodes left are read again with all their tokens. Document frequencies
+   among them give the frequency-order prefixes; equal prefix tokens make groups.
+4. Each group's most shared node (smallest share of tokens of its own) is
+   compared with every member, linear in the group. After components have been
+   merged, only members outside the component of their group's central node are
+   compared with those of a different component. No group is expanded into all
+   its pairs; a pair left out is already in one component.
 5. Copies take their node's component.
 
 All joins and groupings are Spark's; sets meet in tasks only as pairs. Digests
@@ -49,7 +51,7 @@ from checkup.llm.shingles import set_digest, shingle_sets
 from checkup.session import materialize
 
 WIDTH, NUM, DEN = 5, 80, 100
-SAMPLE_SHARE = 0.3  # of the hash range; above 1 - NUM / DEN, so that it covers a prefix
+SAMPLE_SHARE = 0.3  # of the hash range; the filter of step 2 needs more than 1 - NUM / DEN
 KEY_BITS = 48  # sample tokens are shuffled as the upper 48 of 63 bits
 SALTS = 8
 
@@ -66,29 +68,45 @@ def linked(common: int, n: int, m: int, num: int = NUM, den: int = DEN) -> bool:
     return den * common >= num * (n + m - common)
 
 
-def signatures(docs: DataFrame, width: int, num: int, den: int, share: float,
-               id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, n, d, keys``: set size, digest, and the keys of the smallest
-    tokens: all below the sample's limit, and a prefix at least."""
+def required(n, m, num: int = NUM, den: int = DEN):
+    """The overlap that sets of sizes n and m need."""
+    return F.floor((num * (n + m) + (num + den - 1)) / F.lit(num + den)).cast("long")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ship(docs.sparkSession)
-    shift, limit = 63 - KEY_BITS, int(share * 2**63)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d", pa.int64()),
-                        ("keys", pa.list_(pa.int64()))])
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, n, d``: set size and digest of each row."""
 
     def run(batches):
         for b in text_batches(batches, 1 << 20):
             sets = shingle_sets(b.column(1), width)
-            keys = []
-            for s in sets:
-                k = max(int(np.searchsorted(s, limit)), prefix_length(len(s), num, den)) if len(s) else 0
-                keys.append(np.unique(s[:k] >> shift))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([set_digest(s) for s in sets], pa.int64()),
-                 pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+                 pa.array([set_digest(s) for s in sets], pa.int64())], names=["doc_id", "n", "d"])
 
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-            .mapInArrow(run, "doc_id long, n long, d long, keys array<long>"))
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n long, d long")
+
+
+def sample_tokens(docs: DataFrame, width: int, share: float, id_col: str, text_col: str) -> DataFrame:
+    """``key, d`` for each row's tokens in the sample (a set's keys are distinct)."""
+    shift, limit = 63 - KEY_BITS, int(share * 2**63)
+
+    def run(batches):
+        for b in text_batches(batches, 1 << 20):
+            keys, owners = [], []
+            for s in shingle_sets(b.column(1), width):
+                k = np.unique(s[:np.searchsorted(s, limit)] >> shift)
+                keys.append(k)
+                owners.append(np.full(len(k), set_digest(s)))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))],
+                                                 names=["key", "d"])
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, "key long, d long")
 
 
 def _node_key(col="doc_id"):
@@ -141,43 +159,23 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
                           num: int = NUM, den: int = DEN, share: float = SAMPLE_SHARE) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs``."""
-    sig = materialize(signatures(docs, width, num, den, share, id_col, text_col), "jaccard-signatures")
-    limit = int(share * 2**63) >> (63 - KEY_BITS)  # keys below it are complete
-
+    sig = materialize(signatures(docs, width, id_col, text_col), "jaccard-signatures")
     nodes = (sig.where("n > 0").groupBy("d")
              .agg(F.min(_node_key()).alias("kid"), F.max("n").alias("n"), F.min("doc_id").alias("low")))
     # 2. nodes with p tokens that no other set has are done
-    own = (sig.where("n > 0").select("d", F.explode("keys").alias("key")).where(F.col("key") < limit)
+    own = (sample_tokens(docs, width, share, id_col, text_col)
            .groupBy("key").agg(F.min("d").alias("d"), F.max("d").alias("other")).where("d = other")
            .groupBy("d").agg(F.count("*").alias("alone")))
     p = _prefix_column(F.col("n"), num, den)
     left = materialize(nodes.join(own, "d", "left").where(F.coalesce("alone", F.lit(0)) < p)
-                       .select("d", "kid", "n"), "jaccard-nodes")
+                       .select("d", "kid"), "jaccard-nodes")
     # 3. frequency-order prefixes of the nodes left
-    rows = (bitmap_filter(sig.where("n > 0").withColumn("kid", _node_key()), left.select("kid"), "kid")
-            .join(left.select("d", "kid"), ["d", "kid"], "left_semi")
-            .dropDuplicates(["d"]).select("d", "n", "keys"))
-    keys = materialize(rows.select("d", "n", F.size(F.filter("keys", lambda k: k < limit)).alias("n_sample"),
-                                   F.explode("keys").alias("key")), "jaccard-keys")
-    shared = keys.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    found = keys.join(shared, "key")
-    # the prefix, less the sample tokens of one set only, which stand first
-    room = (_prefix_column(F.col("n"), num, den) - F.col("n_sample")
-            + F.sum(F.when(F.col("key") < limit, 1).otherwise(0)).over(W.partitionBy("d")))
-    rank = F.row_number().over(W.partitionBy("d").orderBy(
-        F.when(F.col("key") < limit, F.col("df")).otherwise(F.lit(2**62)), "key"))
-    prefixes = (found.withColumn("room", room).withColumn("rank", rank)
-                .where((F.col("key") >= limit) | (F.col("rank") <= F.col("room")))
-                .select("key", "d", "n"))
-    grouped = prefixes.groupBy("key").agg(F.count("*").alias("size"), F.min("d").alias("pivot")).where("size > 1")
-    members = materialize(prefixes.join(grouped, "key").select("key", "pivot", "d", "n"), "jaccard-members")
-    # 4. each group's smallest node with every member
-    who = members.select("d").distinct().join(left, "d")
-    sets = materialize(fetch_sets(docs, who, width, id_col, text_col), "jaccard-sets")
-    sizes = who.select(F.col("d").alias("pivot"), F.col("n").alias("pivot_n"))
-    stars = (members.where("d <> pivot").select(F.col("pivot"), "d", "n").distinct()
-             .join(sizes, "pivot").where(_near("n", "pivot_n", num, den))
-             .select(F.col("pivot").alias("a"), F.col("d").alias("b")))
+    sets = materialize(fetch_sets(docs, left, width, id_col, text_col), "jaccard-sets")
+    members = materialize(_members(sets, num, den), "jaccard-members")
+    # 4. each group's central node with every member
+    stars = (members.where("d <> pivot")
+             .where(_may_link("n", "pos", "pivot_n", "pivot_pos", num, den))
+             .select(F.least("pivot", "d").alias("a"), F.greatest("pivot", "d").alias("b")).distinct())
     links = materialize(verify(stars, sets, num, den), "jaccard-links")
     first = materialize(components(links, "jaccard-components"), "jaccard-first")
     links2 = materialize(verify(_remaining(members, first, num, den), sets, num, den), "jaccard-links")
@@ -209,22 +207,50 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return left.select(*docs.columns).unionByName(sure.select(*docs.columns))
 
 
-def _near(n: str, m: str, num: int, den: int):
-    """Sizes that can link."""
-    return ((F.least(n, m) * den) >= (F.greatest(n, m) * num))
+def _members(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Groups of equal prefix tokens: ``key, d, n, pos, owner`` (whether the
+    token stands in the shorter set's prefix) and the group's central node
+    (``pivot, pivot_n, pivot_pos``)."""
+    keys = sets.select("d", "n", F.explode("tokens").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    found = keys.join(shared, "key")
+    by_node = W.partitionBy("d")
+    # tokens of one set only stand first in the order; they are not in ``found``
+    alone = F.col("n") - F.count("*").over(by_node)
+    ranked = found.select("key", "d", "n", alone.alias("alone"),
+                          F.row_number().over(by_node.orderBy("df", "key")).alias("rank"))
+    short = F.col("n") - required(F.col("n"), F.col("n"), num, den) + 1
+    placed = (ranked.withColumn("pos", F.col("alone") + F.col("rank"))
+              .where(F.col("pos") <= _prefix_column(F.col("n"), num, den))
+              .withColumn("owner", F.col("pos") <= short))
+    central = F.struct((F.col("alone") / F.col("n")).alias("share"), F.col("d").alias("pivot"),
+                       F.col("n").alias("pivot_n"), F.col("pos").alias("pivot_pos"))
+    groups = (placed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.when(F.col("owner"), central)).alias("c"))
+              .where("size > 1 AND c IS NOT NULL").select("key", "c.pivot", "c.pivot_n", "c.pivot_pos"))
+    return placed.select("key", "d", "n", "pos", "owner").join(groups, "key")
+
+
+def _may_link(n: str, pos: str, m: str, pos_m: str, num: int, den: int):
+    """Length and position filter for a pair met at its first common token."""
+    n, pos, m, pos_m = (F.col(c) for c in (n, pos, m, pos_m))
+    return ((F.least(n, m) * den >= F.greatest(n, m) * num)
+            & (F.least(n - pos, m - pos_m) + 1 >= required(n, m, num, den)))
 
 
 def _remaining(members: DataFrame, comps: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of one group in different components, of which neither is the
-    group's smallest node (those have been compared)."""
+    group's central node (those have been compared)."""
     labels = comps.withColumnRenamed("id", "d")
     m = (members.join(labels, "d", "left").withColumn("comp", F.coalesce("component", "d")).drop("component")
          .join(labels.select(F.col("d").alias("pivot"), F.col("component").alias("pc")), "pivot", "left")
          .withColumn("outside", F.col("comp") != F.coalesce("pc", "pivot"))
          .where("d <> pivot"))
-    out = m.where("outside").select("key", F.col("d").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))
-    rest = m.select("key", F.col("d").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"), "outside")
-    return (out.join(rest, "key")
-            .where((F.col("ac") != F.col("bc")) & (~F.col("outside") | (F.col("a") < F.col("b")))
-                   & _near("an", "bn", num, den))
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    def side(df, x):
+        return df.select("key", *[F.col(c).alias(x + c) for c in ("d", "n", "pos", "owner", "comp", "outside")])
+
+    return (side(m.where("outside"), "a").join(side(m, "b"), "key")
+            .where((F.col("acomp") != F.col("bcomp")) & (F.col("aowner") | F.col("bowner"))
+                   & (~F.col("boutside") | (F.col("ad") < F.col("bd")))
+                   & _may_link("an", "apos", "bn", "bpos", num, den))
+            .select(F.least("ad", "bd").alias("a"), F.greatest("ad", "bd").alias("b")).distinct())
