@@ -95,7 +95,7 @@ def with_stats(df: DataFrame, text_col: str = "text", out: str = "stats") -> Dat
 
 
 @dataclass(frozen=True)
-class Test:
+class Threshold:
     """``stat >= value`` or ``stat <= value``."""
     stat: str
     at_least: bool
@@ -136,19 +136,19 @@ def _best_test(x, y, names):
             k = int(np.argmax(gain))
             if gain[k] > best[0] + 1e-9:
                 mid = float((v[cut[k]] + v[cut[k] + 1]) / 2)
-                best = (float(gain[k]), Test(name, at_least, mid))
+                best = (float(gain[k]), Threshold(name, at_least, mid))
     return best[1]
 
 
 def learn(x: np.ndarray, reject: np.ndarray, names: list[str], max_rules: int = 12,
-          max_tests: int = 4, min_precision: float = 0.9, min_cover: int = 10) -> list[list[Test]]:
+          max_tests: int = 4, min_precision: float = 0.9, min_cover: int = 10) -> list[list[Threshold]]:
     """Ordered rules, each a list of tests that must all hold to reject.
 
     A rule is kept when, on the pruning third as well as over all rows left,
     at least ``min_precision`` of what it catches is to be rejected, and it
     catches ``min_cover`` rows or more. Learning stops at the first rule that
     isn't."""
-    rules: list[list[Test]] = []
+    rules: list[list[Threshold]] = []
     third = np.arange(len(x)) % 3 == 2  # rows come in hash order
     alive = np.ones(len(x), bool)
     for _ in range(max_rules):
@@ -190,7 +190,7 @@ def labelled_sample(labels: DataFrame, max_labelled: int = MAX_LABELLED, id_col:
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id",
-              text_col: str = "text", **options) -> list[list[Test]]:
+              text_col: str = "text", **options) -> list[list[Threshold]]:
     """Rules from the labelled rows of ``docs``. The sample is broadcast (its
     size is ``max_labelled`` rows at most) and no more labelled documents than
     that reach the driver, as numbers only."""
@@ -205,7 +205,7 @@ def fit_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELL
     return learn(got[names].to_numpy(float), got["quality"].to_numpy() == 0, names, **options)
 
 
-def rules_column(rules: list[list[Test]], stats: str = "stats"):
+def rules_column(rules: list[list[Threshold]], stats: str = "stats"):
     """The ordered conditional expression: the number of the first rule that
     rejects (from 1), or 0."""
     if not rules:
@@ -224,7 +224,7 @@ def base_failed_column(stats: str = "stats"):
     return (s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
 
 
-def with_quality(docs: DataFrame, rules: list[list[Test]], text_col: str = "text", out: str = "stats") -> DataFrame:
+def with_quality(docs: DataFrame, rules: list[list[Threshold]], text_col: str = "text", out: str = "stats") -> DataFrame:
     """``docs`` with the struct ``out``, to which ``base_failed``, ``rule`` and
     ``kept`` are added."""
     df = with_stats(docs, text_col, out)
