@@ -44,7 +44,7 @@ def load_tokenizer(path: str):
     return _FILE_MEMO[path]
 
 
-def memo_encoder(path: str, mode: str, what: str, max_entries: int = 600_000) -> "ChunkEncoder":
+def memo_encoder(path: str, mode: str, what: str, max_entries: int = 900_000) -> "ChunkEncoder":
     """One encoder per worker, file, mode and kind of result."""
     key = (path, mode, what)
     if key not in _FILE_MEMO:
@@ -56,7 +56,7 @@ class ChunkEncoder:
     """Token counts (``what="count"``) or ids (``what="ids"``, as little-endian
     unsigned 32-bit integers in bytes) of texts."""
 
-    def __init__(self, tokenizer, mode: str, what: str, max_entries: int = 600_000):
+    def __init__(self, tokenizer, mode: str, what: str, max_entries: int = 900_000):
         assert mode in ("word", "byte") and what in ("count", "ids")
         self.tokenizer, self.mode, self.what = tokenizer, mode, what
         self.max_entries, self.memo = max_entries, {}
@@ -70,7 +70,7 @@ class ChunkEncoder:
         if _ODD.search(text):
             return None
         if self.mode == "word":
-            return text.split()
+            return (text.lower() if _plain(text) else text).split()
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
             return None
         # one mark in front of each piece: blank, line feed, or (first) none
@@ -84,12 +84,38 @@ class ChunkEncoder:
             self.memo = dict(islice(self.memo.items(), self.max_entries // 2))
             new = seen.difference(self.memo)
         new = list(new)
-        if self.mode == "byte":
-            raw = [p[1:] if p.startswith("\r") else p if p.startswith("\n") else " " + p for p in new]
-        else:
+        if self.mode == "word":
+            new = self._learn_words(new)
             raw = new
+        else:
+            raw = [p[1:] if p.startswith("\r") else p if p.startswith("\n") else " " + p for p in new]
         self.memo.update(zip(new, self._encode(raw)))
 
+    def _learn_words(self, new: list[str]) -> list[str]:
+        """Learn words of letters, alone or before one punctuation mark, straight
+        from the tokenizer's model: such a word is one pre-token, and the mark
+        another. The other pieces are returned."""
+        memo, model, others = self.memo, self.tokenizer.model, []
+        for piece in new:
+            word, mark = (piece[:-1], piece[-1]) if piece[-1] in _MARKS else (piece, "")
+            if not word.isalpha() or max(word) > _LAST_LETTER:
+                others.append(piece)
+                continue
+            if mark and mark not in memo:
+                memo[mark] = self._encode([mark])[0]
+            got = memo.get(word)
+            if got is None:
+                low = word.lower()
+                if not low.isalpha():
+                    others.append(piece)
+                    continue
+                if not low.isascii():
+                    low = "".join(map(_BYTE_CHARS.__getitem__, low.encode()))
+                ids = [t.id for t in model.tokenize(low)]
+                got = len(ids) if self.what == "count" else _packed(ids)
+            memo[piece] = got + memo[mark] if mark else got
+        return others
+
     def __call__(self, texts: list[str]) -> list:
         """A count, or packed ids, for each text."""
         cut = [self._pieces(t) for t in texts]
@@ -109,5 +135,30 @@ class ChunkEncoder:
         return out
 
 
+def _plain(text: str) -> bool:
+    """Whether lower-casing the text beforehand changes nothing: one-byte
+    characters need no normalisation, and no special token can come about."""
+    if "<|" in text:
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _byte_chars() -> list[str]:
+    """The characters that stand for bytes in byte-level vocabularies: visible
+    ones for themselves, the others from U+0100 on, in order."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(0x100, 0x200))
+    return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
+
+
+_BYTE_CHARS = _byte_chars()
+_MARKS = ".,!?;:"
+_LAST_LETTER = "\u017f"  # up to here letters are precomposed and lower-case one by one
+
+
 def _packed(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes() if sys.byteorder == "big" else array("I", ids).tobytes()
