@@ -35,5 +35,10 @@ def fmt_half_even(c: Column | str) -> Column:
 
 
 def trunc_int(c: Column | str) -> Column:
-    """truncate toward zero and show as an integer (like ``int(x)``)."""
-    return _col(c).cast("double").cast("bigint").cast("string")
+    """truncate toward zero and show as an integer (like ``int(x)``). Values
+    beyond 38 digits, infinities and NaN are shown as the double is written."""
+    d = _col(c).cast("double")
+    small = F.when(F.abs(d) < F.lit(9.0e18), d)  # a branch that does not apply must not overflow
+    large = F.when((F.abs(d) >= F.lit(9.0e18)) & (F.abs(d) < F.lit(1.0e37)), d)
+    return F.coalesce(small.cast("bigint").cast("string"),
+                      large.cast("decimal(38,0)").cast("string"), d.cast("string"))

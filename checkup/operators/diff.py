@@ -78,11 +78,10 @@ def diff_pairs(summaries: DataFrame, pairs: DataFrame,
 _CARRY = ("node_count", "root_cost", "execution_time_ms")
 
 
-def _paired(summ: DataFrame, with_nodes: bool) -> DataFrame:
+def _paired(summ: DataFrame) -> DataFrame:
     """Each run with the summary of its previous run of the same query, carried
     by the (skew-safe) ordered window -- no self-join."""
-    carry = _CARRY + (("nodes",) if with_nodes else ())
-    seq = previous_runs(summ, carry=carry)
+    seq = previous_runs(summ, carry=_CARRY)
     renames = {"node_count": "a_node_count", "root_cost": "a_root_cost",
                "execution_time_ms": "a_execution_time_ms", "prev_node_count": "b_node_count",
                "prev_root_cost": "b_root_cost", "prev_execution_time_ms": "b_execution_time_ms"}
@@ -106,7 +105,7 @@ def diff_runs(runs: DataFrame | None, json_col: str = "plan_json",
         summaries = run_summaries(runs, json_col)
         if materialize_summaries:
             summaries = materialize(summaries, "run-summaries")
-    v = _verdict(_paired(summaries, with_nodes=False))
+    v = _verdict(_paired(summaries))
     return _diff_columns(v)
 
 
@@ -132,15 +131,17 @@ def node_deltas(runs: DataFrame, json_col: str = "plan_json", materialize_summar
     """For each run aligned with its previous run (same node count), one row
     per node position: after's type, relation (after's or else before's),
     estimated cost / rows and actual time of both sides, and whether the
-    normalised type changed. The previous run's node list travels with the
-    ordered window, so nodes are never joined across runs."""
+    normalised type changed. Runs are paired by their ids and counts alone; the
+    node lists of aligned pairs are then fetched by ``run_id``, which is unique."""
     summ = run_summaries(runs, json_col, with_nodes=True)
     if materialize_summaries:
         summ = materialize(summ, "run-node-lists")
-    p = _paired(summ, with_nodes=True)
-    aligned = p.where(F.col("prev_run_id").isNotNull() & (F.col("a_node_count") == F.col("b_node_count")))
-    z = aligned.select("run_id", "prev_run_id",
-                       F.explode(F.arrays_zip(F.col("prev_nodes").alias("b"), F.col("nodes").alias("a"))).alias("z"))
+    pairs = previous_runs(summ.select("run_id", "query_hash", "node_count"), carry=("node_count",))
+    aligned = (pairs.where(F.col("prev_run_id").isNotNull() & (F.col("node_count") == F.col("prev_node_count")))
+               .select("run_id", "prev_run_id"))
+    z = (aligned.join(summ.select("run_id", F.col("nodes").alias("a")), "run_id")
+         .join(summ.select(F.col("run_id").alias("prev_run_id"), F.col("nodes").alias("b")), "prev_run_id")
+         .select("run_id", "prev_run_id", F.explode(F.arrays_zip("b", "a")).alias("z")))
     return _delta_columns(z.select("run_id", "prev_run_id", F.col("z.a").alias("a"), F.col("z.b").alias("b")))
 
 

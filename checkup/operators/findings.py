@@ -76,3 +76,25 @@ def flat_findings(findings: DataFrame) -> DataFrame:
         F.col("suggestion.note").alias("suggestion_note"),
         "table_name", "column_name", "run_id", "node_ord",
     )
+
+
+def conform(df: DataFrame, rule_id: str, rank: int) -> DataFrame:
+    """``df`` with exactly the columns of the findings schema."""
+    cols = []
+    for f in schemas.FINDINGS.fields:
+        if f.name == "rule_id":
+            cols.append(F.lit(rule_id).alias("rule_id"))
+        elif f.name == "rule_rank":
+            cols.append(F.lit(rank).cast("int").alias("rule_rank"))
+        elif f.name in df.columns:
+            cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
+        else:
+            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
+    return df.select(*cols)
+
+
+def failed_rule(spark, rule_id: str, rank: int, exc: Exception) -> DataFrame:
+    """The one finding that stands for a rule that failed."""
+    return spark.range(1).select(*finding_columns(
+        rule_id=rule_id, rule_rank=rank, severity=WARN, title=f"Advisor {rule_id} failed",
+        detail=str(exc)))

@@ -3,22 +3,23 @@ query, runs newest first, and each run paired with its previous run.
 
 "Previous" follows ``run_id`` (arrival order), not timestamps. One query may
 hold a large share of all runs, so ordering within a query never sends a whole
-query to one task: runs are cut into (query, run_id range) buckets; each bucket
-is ordered on its own, and a small per-bucket summary carries the last run and
-the run count across bucket borders.
+query to one task: all runs are cut into run_id ranges of equal count; each
+(query, range) pair is ordered on its own, and a summary row per pair carries the last
+run and the run count across the borders.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from checkup.functions.fingerprint import query_hash
 from checkup.functions.text import redact_credentials
 
-# About this many runs of one query are ordered in one window partition.
+# About this many runs are in one range of run ids, at most MAX_BUCKETS ranges.
 ROWS_PER_BUCKET = 1 << 18
+MAX_BUCKETS = 1024
 
 
 def with_fingerprint(runs: DataFrame, text_col: str = "query_text", out_col: str = "query_hash") -> DataFrame:
@@ -34,41 +35,59 @@ def redact_log(runs: DataFrame, cols: tuple[str, ...] = ("query_text",)) -> Data
     return runs
 
 
+def order_bounds(df: DataFrame, order: str, rows_per_bucket: int) -> list:
+    """Boundaries that cut all rows into about equally large ranges of ``order``
+    (one aggregate; at most ``MAX_BUCKETS`` numbers come to the driver)."""
+    n = df.agg(F.count(F.col(order))).first()[0]
+    ranges = min(MAX_BUCKETS, -(-n // rows_per_bucket))
+    if ranges < 2:
+        return []
+    at = F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 100 * ranges)
+    return sorted(set(df.agg(at).first()[0]))
+
+
+def bucket_of(order: str, bounds: list) -> Column:
+    """How many boundaries lie below the value, found in two steps of about
+    sqrt(n) comparisons each."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    every = F.array(*[F.lit(v) for v in bounds])
+    coarse = F.array(*[F.lit(v) for v in bounds[step - 1::step]])
+    skipped = F.size(F.filter(coarse, lambda x: x < F.col(order))) * step
+    return skipped + F.size(F.filter(F.slice(every, skipped + 1, F.lit(step)), lambda x: x < F.col(order)))
+
+
 def sequence_within(df: DataFrame, key: str, order: str, *, carry: tuple[str, ...] = (),
                     rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Adds, per row, within its ``key`` group ordered by ``order`` (unique):
     ``prev_<order>`` and ``prev_<c>`` for each carried column ``c`` (values of
     the previous row, null on the first), ``pos_asc`` (1 = first) and
-    ``pos_desc`` (1 = last).
-
-    A group never goes to one task whole. Each group's ``order`` range is cut
-    into about count / ``rows_per_bucket`` equal ranges (from a per-key min /
-    max / count aggregate, so sparse ids still give full buckets). Rows are
-    windowed per (key, range); the last row and the size of each range form a
-    small per-range table that links ranges in order. The input is read
-    twice; pass a materialised table (``checkup.session.materialize``) when it
-    is costly to compute.
+    ``pos_desc`` (1 = last). Rows with a null key are one group.
+
+    A group never goes to one task whole. The ``order`` values of *all* rows are
+    cut into ranges of about equal count, so however large a group is and
+    however its ids are spread, a (key, range) pair has no more rows than the
+    range. Rows are windowed per (key, range), and nothing is joined on the
+    bare key; a summary row per (key, range) links the ranges. The input is
+    read more than once; pass a materialised table
+    (``checkup.session.materialize``) when it is costly to compute.
     """
-    per_key = df.groupBy(key).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"),
-                                  F.count(F.lit(1)).alias("_n"))
-    buckets = F.ceil(F.col("_n") / F.lit(rows_per_bucket))
-    width = F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / buckets)).cast("bigint")
-    per_key = per_key.select(key, "_lo", width.alias("_w"))
-    b = F.floor((F.col(order) - F.col("_lo")) / F.col("_w")).cast("bigint")
+    bounds = order_bounds(df, order, rows_per_bucket)
     payload = F.struct(*[F.col(c) for c in (order, *carry)])
     inb = Window.partitionBy(key, "_b").orderBy(order)
-    rows = (df.join(per_key, key, "inner").withColumn("_b", b).drop("_lo", "_w")
-            .withColumn("_prev_in", F.lag(payload).over(inb))
+    cut = df.withColumn("_b", bucket_of(order, bounds))
+    rows = (cut.withColumn("_prev_in", F.lag(payload).over(inb))
             .withColumn("_pos_in", F.row_number().over(inb).cast("bigint")))
     byb = Window.partitionBy(key).orderBy("_b")
-    summary = (rows.groupBy(key, "_b")
+    summary = (cut.groupBy(key, "_b")
                .agg(F.max_by(payload, F.col(order)).alias("_blast"), F.count(F.lit(1)).alias("_bn"))
                .withColumn("_prev_blast", F.lag("_blast").over(byb))
                .withColumn("_before", F.coalesce(F.sum("_bn").over(
                    byb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
                .withColumn("_total", F.sum("_bn").over(Window.partitionBy(key)))
-               .select(key, "_b", "_prev_blast", "_before", "_total"))
-    out = rows.join(summary, [key, "_b"], "inner")
+               .select(F.col(key).alias("_key"), F.col("_b").alias("_sb"), "_prev_blast", "_before", "_total"))
+    out = rows.join(summary, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_b") == F.col("_sb")), "inner")
     prev = F.coalesce(F.col("_prev_in"), F.col("_prev_blast"))
     pos = F.col("_before") + F.col("_pos_in")
     out = out.withColumn("_prev", prev)
@@ -76,7 +95,7 @@ def sequence_within(df: DataFrame, key: str, order: str, *, carry: tuple[str, ..
         out = out.withColumn(f"prev_{c}", F.col("_prev")[c])
     return (out.withColumn("pos_asc", pos.cast("bigint"))
             .withColumn("pos_desc", (F.col("_total") - pos + 1).cast("bigint"))
-            .drop("_b", "_prev_in", "_pos_in", "_prev_blast", "_before", "_total", "_prev"))
+            .drop("_b", "_prev_in", "_pos_in", "_prev_blast", "_before", "_total", "_prev", "_key", "_sb"))
 
 
 def latest_runs(runs: DataFrame, key: str = "query_hash", order: str = "run_id") -> DataFrame:

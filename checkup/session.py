@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -36,15 +39,19 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for checkpoints and intermediate tables.
 
     Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir). Only
-    when neither is set -- local runs and tests -- a private folder is made and
-    registered as the checkpoint dir.
+    when neither is set and the master is local (tests, one machine), a private
+    folder is made, registered as the checkpoint dir and removed at exit. On a
+    cluster a folder that one machine sees would lose rows, so that is an error.
     """
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if not found:
         found = sc.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to storage that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="checkup-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         sc.setCheckpointDir(found)
         found = sc.getCheckpointDir() or found
     return found.rstrip("/")
