@@ -17,7 +17,7 @@ from checkup.operators import history as H
 from checkup.operators.findings import flat_findings
 from checkup.operators.infer import infer_constraints
 from checkup.operators.profile import column_profile, distinct_values, orphan_ratios
-from checkup.plans.flatten import flatten_plans, split_plan_documents, trim_plan_documents
+from checkup.plans.flatten import document_errors, flatten_plans, split_plan_documents, trim_plan_documents
 from checkup.sinks.report import ddl_lines, infer_report_lines, report_lines
 from checkup.sources import derived
 from checkup.sources.catalog import Catalog
@@ -141,6 +141,17 @@ def q_plan_documents_ok(spark, sf_dir):
                                 F.lit(None).cast("double").alias("execution_time_ms")))
 
 
+def q_plan_errors(spark, sf_dir):
+    """S3, the errors: each spoilt document with its reason, as a finding."""
+    found = document_errors(derived.broken_plan_runs(spark, sf_dir))
+    return found.select("run_id", "severity", "title", F.get_json_object("evidence", "$.reason").alias("reason"))
+
+
+def q_broken_log_diffs(spark, sf_dir):
+    """D1 over the log whose readable documents are diffed among themselves."""
+    return D.diff_runs(derived.broken_plan_runs(spark, sf_dir)).select("run_id", "prev_run_id")
+
+
 def _nodes_and_catalog(spark, sf_dir):
     nodes = flatten_plans(derived.plan_runs(spark, sf_dir))
     fk = derived.fk_tables(spark, sf_dir)
@@ -241,6 +252,8 @@ JOBS = {
     "plan_nodes": q_plan_nodes,
     "plan_roundtrip": q_plan_roundtrip,
     "plan_documents": q_plan_documents_ok,
+    "plan_errors": q_plan_errors,
+    "broken_log_diffs": q_broken_log_diffs,
     "advise_seq_scan": _rule(A.SEQ_SCAN),
     "advise_row_estimate": _rule(A.ROW_ESTIMATE),
     "advise_sort_spill": _rule(A.SORT_SPILL),

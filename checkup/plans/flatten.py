@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from checkup.functions.nodetypes import normalize_node_type
+from checkup.operators.findings import WARN, finding_columns
 
 # Plan-document key names.
 K_PLAN = "Plan"
@@ -81,6 +82,23 @@ def split_plan_documents(runs: DataFrame, json_col: str = "plan_json",
     return good, bad
 
 
+# What the reasons say.
+REASONS = {"null_document": "there is no document", "no_plan": "the document holds no plan",
+           "not_json": "the document is no JSON, or is nested too deeply to be read"}
+
+
+def document_errors(runs: DataFrame, json_col: str = "plan_json") -> DataFrame:
+    """One WARN finding for each run whose document cannot be read."""
+    _, bad = split_plan_documents(runs, json_col)
+    reason = F.col("reason")
+    for k, v in REASONS.items():
+        reason = F.when(F.col("reason") == k, F.lit(v)).otherwise(reason)
+    return bad.select(*finding_columns(
+        rule_id="plan.document", rule_rank=0, severity=WARN,
+        title=F.format_string("Plan document of run %s cannot be read", F.col("run_id").cast("string")),
+        detail=reason, evidence=F.to_json(F.struct("reason")), run_id=F.col("run_id")))
+
+
 def _kids(node: Column) -> Column:
     return F.coalesce(F.try_variant_get(node, "$.Plans", "array<variant>"), F.array().cast("array<variant>"))
 

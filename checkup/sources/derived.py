@@ -112,6 +112,16 @@ def plan_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_runs_from_orders(t["orders"], t["lineitem"])
 
 
+def broken_plan_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived log with three of every seven documents spoilt: missing, cut
+    short, and without a plan."""
+    turn = F.col("run_id") % 7
+    doc = (F.when(turn == 0, F.lit(None).cast("string"))
+           .when(turn == 1, F.expr("substring(plan_json, 1, length(plan_json) - 1)"))
+           .when(turn == 2, F.lit('[{"Planning Time": 1.5}]')).otherwise(F.col("plan_json")))
+    return plan_runs(spark, sf_dir).withColumn("plan_json", doc)
+
+
 def as_is_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """All test tables; lineitem and orders gain one column with nulls each."""
     t = load_tables(spark, sf_dir)

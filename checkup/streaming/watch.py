@@ -5,8 +5,9 @@ A file source of plan runs (parquet, ``run_id`` increasing in arrival order)
 feeds ``foreachBatch``. Per micro-batch N:
 
 1. summarise each document once (node count, root cost, execution time);
-2. union with the snapshot of the latest run per query written by batch N-1
-   (one small row per query, partition ``batch_id=N-1`` of the state table);
+2. union with the latest runs of the batch's queries from the snapshot written
+   by batch N-1 (one small row per query, partition ``batch_id=N-1`` of the
+   state table); only batch 0 may start without one;
 3. pair runs with their previous run and compute verdicts (same code as the
    batch diff), keeping the batch's own runs;
 4. overwrite partition ``batch_id=N`` of the output, then of the snapshot.
@@ -58,11 +59,9 @@ class RegressionWatch:
         if batch_id == 0:
             return spark.createDataFrame([], _STATE_SCHEMA)
         # Read only the previous batch's partition: listing stays O(1) however
-        # many batches the watch has run.
-        try:
-            snap = spark.read.schema(_STATE_SCHEMA).parquet(f"{self.state}/batch_id={batch_id - 1}")
-        except Exception:  # noqa: BLE001 -- no snapshot written yet
-            return spark.createDataFrame([], _STATE_SCHEMA)
+        # many batches the watch has run. A missing snapshot is an error: going
+        # on without it would make every run a first run and lose the history.
+        snap = spark.read.schema(_STATE_SCHEMA).parquet(f"{self.state}/batch_id={batch_id - 1}")
         return snap.select(*_STATE_COLS)
 
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
@@ -72,7 +71,9 @@ class RegressionWatch:
         try:
             prior = self._prior(spark, batch_id)
             combined = prior.unionByName(summ)
-            diffs = D.diff_runs(None, summaries=combined)
+            keys = summ.select(F.col("query_hash").alias("_key")).distinct()
+            concerned = prior.join(keys, F.col("query_hash").eqNullSafe(F.col("_key")), "left_semi")
+            diffs = D.diff_runs(None, summaries=concerned.unionByName(summ))
             fresh = diffs.join(prior.select("run_id"), "run_id", "left_anti")
             _overwrite_partition(fresh, self.output, batch_id)
             _overwrite_partition(latest_runs(combined).select(*_STATE_COLS), self.state, batch_id)

@@ -508,6 +508,11 @@ def oracle_sql() -> dict[str, str]:
         "plan_nodes": _plan(f"SELECT {_NODE_COLS} FROM nodes"),
         "plan_roundtrip": _plan(f"SELECT {_NODE_COLS} FROM nodes"),
         "plan_documents": _plan("SELECT run_id, planning_time_ms, execution_time_ms FROM runs"),
+        "plan_errors": _plan("SELECT run_id, 'WARN' AS severity, 'Plan document of run ' || run_id || ' cannot be read' "
+                             "AS title, CASE run_id % 7 WHEN 0 THEN 'null_document' WHEN 1 THEN 'not_json' "
+                             "ELSE 'no_plan' END AS reason FROM runs WHERE run_id % 7 < 3"),
+        "broken_log_diffs": _plan("SELECT run_id, lag(run_id) OVER (PARTITION BY query_hash ORDER BY run_id) "
+                                  "AS prev_run_id FROM runs WHERE run_id % 7 >= 3"),
         "advise_seq_scan": _plan(_named(_RULES["seq_scan"])),
         "advise_row_estimate": _plan(_named(_RULES["row_estimate"])),
         "advise_sort_spill": _plan(_named(_RULES["sort_spill"])),

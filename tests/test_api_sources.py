@@ -22,7 +22,7 @@ def test_plan_files_source(spark, workdir):
     ids = [r.run_id for r in runs.orderBy("source").collect()]
     assert ids == sorted(ids)
     f = {r.rule_id for r in api.report(runs).collect()}
-    assert f == {"advisor.row_estimate", "advisor.seq_scan"}
+    assert f == {"advisor.row_estimate", "advisor.seq_scan", "plan.document"}  # the broken file is reported
 
 
 def test_infer_without_catalog_and_quoted_names(spark):

@@ -99,3 +99,30 @@ def test_shared_folder_must_be_shared_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         shared_dir(Session())
+
+
+def test_missing_watch_state_is_an_error(spark, workdir):
+    from checkup.streaming.watch import RegressionWatch
+
+    watch = RegressionWatch("", f"{workdir}/diffs", f"{workdir}/state", "")
+    assert watch._prior(spark, 0).count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        watch._prior(spark, 7)
+
+
+def test_findings_json_nests_evidence_and_keeps_nulls(spark, workdir):
+    import json
+    import os
+
+    from checkup.plans.flatten import document_errors
+    from checkup.sinks.report import write_findings_json
+
+    deep = '{"Node Type": "Result", "Plans": [' * 900 + '{"Node Type": "Result"}' + "]}" * 900
+    runs = spark.createDataFrame([(1, None), (2, "no json"), (3, "[]"), (4, '[{"Plan": ' + deep + "}]")],
+                                 "run_id long, plan_json string")
+    write_findings_json(document_errors(runs), f"{workdir}/findings")
+    rows = [json.loads(line) for f in os.listdir(f"{workdir}/findings") if f.endswith(".json")
+            for line in open(f"{workdir}/findings/{f}")]
+    got = {r["run_id"]: r["evidence"]["reason"] for r in rows}
+    assert got == {1: "null_document", 2: "not_json", 3: "no_plan", 4: "not_json"}
+    assert all("suggestion" in r and r["suggestion"] is None and "rule_rank" not in r for r in rows)
