@@ -135,6 +135,9 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text
 
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (``a, b``) that link. Both hash orders filter first."""
+    pairs = materialize(pairs, "jaccard-pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("d"))
+    sets = bitmap_filter(sets, ids, "d")  # sets in no pair are not shuffled
     left = sets.select(F.col("d").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("d").alias("b"), F.col("tokens").alias("y"))
 

@@ -154,7 +154,8 @@ def edits_within(a: str, b: str, k: int):
 
 def verify(pairs: DataFrame, lines: DataFrame, k: int) -> DataFrame:
     """The pairs (``a``, ``b``: line ids) within k edits."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    pairs = materialize(pairs, "line-pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     text = bitmap_filter(lines.select("id", "chars", "line"), ids, "id")
     left = text.select(F.col("id").alias("a"), F.col("chars").alias("ca"), F.col("line").alias("la"))
     right = text.select(F.col("id").alias("b"), F.col("chars").alias("cb"), F.col("line").alias("lb"))
