@@ -102,17 +102,15 @@ def _mark(edges: DataFrame) -> tuple:
 
 def _with_bit(df: DataFrame, ids: DataFrame, col: str, out: str) -> DataFrame:
     """``df`` with a flag: whether ``col`` may be among ``ids`` (same name). The
-    bitmap has a fixed size (``BITMAP`` bits, whatever the input) and is
-    broadcast."""
-    h = lambda: F.pmod(F.xxhash64(F.col(col)), F.lit(BITMAP))
-    maps = (ids.select(h().alias("h")).groupBy(F.bitmap_bucket_number("h").alias("__bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("__bits")))
-    place = F.bitmap_bit_position(h())
-    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return (df.withColumn("__bucket", F.bitmap_bucket_number(h()))
-            .join(F.broadcast(maps), "__bucket", "left")
-            .withColumn(out, F.col("__bits").isNotNull() & (F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1))
-            .drop("__bucket", "__bits"))
+    bitmap has a fixed size (``BITMAP`` bits in words of 64, whatever the input)
+    and is broadcast."""
+    h = F.pmod(F.xxhash64(F.col(col)), F.lit(BITMAP))
+    word, bit = F.shiftright(h, 6), h.bitwiseAND(F.lit(63)).cast("int")
+    words = (ids.select(word.alias("__word"), bit.alias("__bit"))
+             .groupBy("__word").agg(F.expr("bit_or(shiftleft(1L, __bit))").alias("__bits")))
+    return (df.withColumn("__word", word).join(F.broadcast(words), "__word", "left")
+            .withColumn(out, F.coalesce(F.getbit("__bits", bit) == 1, F.lit(False)))
+            .drop("__word", "__bits"))
 
 
 def bitmap_filter(df: DataFrame, ids: DataFrame, col: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Operator 10: exact top-k inner products by a Voronoi join.
 
-1. ``PIVOTS`` vectors, drawn by a hash of their ids, divide the space; every
-   vector goes to the cell of its nearest pivot.
+1. Pivots, one for about ``CELL_QUERIES`` queries and ``MAX_PIVOTS`` at most,
+   drawn by a hash of their ids, divide the space; every vector goes to the cell
+   of its nearest pivot. (Where no bound excludes anything, as with vectors in
+   all directions, a vector is sent to every cell; few cells keep that small.)
 2. For each query cell a summary is made: its radius R (the greatest distance
    of a query from the pivot P) and a bound: each query is answered from a part
    of its own cell, and the smallest k-th score found is what every query
@@ -33,7 +35,7 @@ from checkup.llm.common import ship
 from checkup.session import materialize
 
 TOP, EVERY, SCALE = 20, 20, 64
-PIVOTS = 64
+CELL_QUERIES, MAX_PIVOTS = 256, 1024  # queries a cell is meant to hold; most pivots
 QUERY_BLOCK, DATA_BLOCK, PROBE_ROWS = 1024, 8192, 2048
 _LIMIT = 2.0**53
 
@@ -127,7 +129,7 @@ def _block(col, n):
     return F.pmod(F.xxhash64(col), n).cast("int")
 
 
-def top_products(vectors: DataFrame, k: int = TOP, every: int = EVERY, n_pivots: int = PIVOTS,
+def top_products(vectors: DataFrame, k: int = TOP, every: int = EVERY, n_pivots: int | None = None,
                  id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE,
                  query_block: int = QUERY_BLOCK, data_block: int = DATA_BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score`` for queries whose id ``every`` divides."""
@@ -138,6 +140,9 @@ def top_products(vectors: DataFrame, k: int = TOP, every: int = EVERY, n_pivots:
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if dim is None:
         return empty
+    if n_pivots is None:
+        asking = data.where(F.col("vec_id") % every == 0).count()
+        n_pivots = min(MAX_PIVOTS, max(1, -(-asking // CELL_QUERIES)))
     drawn = data.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(n_pivots).select("v").collect()
     pivots = np.zeros((len(drawn), dim))
     for i, r in enumerate(drawn):

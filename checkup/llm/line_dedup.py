@@ -101,7 +101,7 @@ def keys_of(lines: DataFrame, k: int) -> DataFrame:
 
 def edits_within(a: str, b: str, k: int):
     """Whether the character arrays in columns ``a`` and ``b`` (``a`` not the
-    shorter one, of ``k`` characters or more) are within k edits.
+    shorter one) are within k edits.
 
     The vertical differences of the band of 2k + 1 diagonals are two words
     (``vp``, ``vn``); each step takes one character of ``b`` and builds the
@@ -149,17 +149,35 @@ def edits_within(a: str, b: str, k: int):
 
     start = F.struct(word(((1 << (k + 1)) - 1) << k).alias("vp"), word(0).alias("vn"), word(k).alias("d"))
     run = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda acc: acc["d"])
-    return (m - n <= k) & F.when(n == 0, m <= k).otherwise(run <= k)
+    return (m - n <= k) & F.when(m <= k, F.lit(True)).when(n == 0, F.lit(False)).otherwise(run <= k)
+
+
+# Letters in groups; a single edit changes the number of a group's letters by one.
+LETTER_GROUPS = ["aA", "eE", "iIoO", "nNrR", "sStT", "dDhHlL", "uUcCmM", " ,."]
+
+
+def _same_letters(a: str, b: str, k: int):
+    """Whether the counts of letter groups differ by no more than k edits can
+    change them: each edit changes two of the counts by one at most."""
+    total = F.lit(0)
+    for g in LETTER_GROUPS:
+        without = lambda c: F.char_length(F.translate(F.col(c), g, ""))  # noqa: E731, B023
+        total = total + F.abs((F.char_length(a) - without(a)) - (F.char_length(b) - without(b)))
+    return total <= 2 * k
 
 
 def verify(pairs: DataFrame, lines: DataFrame, k: int) -> DataFrame:
-    """The pairs (``a``, ``b``: line ids) within k edits."""
+    """The pairs (``a``, ``b``: line ids) within k edits. Pairs whose letter
+    counts differ too much go first; the banded automaton runs on the rest."""
     pairs = materialize(pairs, "line-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     text = bitmap_filter(lines.select("id", "chars", "line"), ids, "id")
     left = text.select(F.col("id").alias("a"), F.col("chars").alias("ca"), F.col("line").alias("la"))
     right = text.select(F.col("id").alias("b"), F.col("chars").alias("cb"), F.col("line").alias("lb"))
-    both = pairs.join(left, "a").join(right, "b").where(F.abs(F.col("ca") - F.col("cb")) <= k)
+    both = (pairs.join(left, "a").join(right, "b").where(F.abs(F.col("ca") - F.col("cb")) <= k)
+            .where(_same_letters("la", "lb", k)))
+    n_tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = both.repartition(n_tasks)  # long comparisons in few bytes: not to be joined into few tasks
     longer = F.col("ca") >= F.col("cb")
     chars = both.select("a", "b", F.split(F.when(longer, F.col("la")).otherwise(F.col("lb")), "").alias("x"),
                         F.split(F.when(longer, F.col("lb")).otherwise(F.col("la")), "").alias("y"))

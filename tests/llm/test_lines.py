@@ -24,7 +24,7 @@ def sample(seed=4):
     rnd = random.Random(seed)
     bases = ["".join(rnd.choice("abcdefgh ij") for _ in range(rnd.randrange(20, 40))).strip().ljust(22, "q") for _ in range(14)]
     docs = []
-    for _ in range(25):
+    for _ in range(18):
         lines = [edited(rnd, rnd.choice(bases), rnd.randrange(5)) for _ in range(rnd.randrange(1, 6))]
         docs.append("\n".join(lines + ["short"]))
     return docs + [None, "", "\n\n", docs[0], "only short\nlines"]
@@ -75,7 +75,7 @@ def test_probes_are_the_multi_match_aware_ones():
 
 def test_edges(spark):
     assert line_rows(docs_of(spark, [])).collect() == []
-    long = "z" * 30_000
+    long = "z" * 6_000
     df = spark.createDataFrame(
         [(1, long, "a", 1), (None, long[:-1], "b", 2), (1, long, "c", 3), (2, "unlike anything else here", "d", 4)],
         "doc_id long, text string, line string, id long")
