@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -42,6 +43,17 @@ def lower_ascii(col):
     return F.translate(col, ASCII_UPPER, ASCII_LOWER)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back. The shuffle files
+    that led to it are of no more use; Spark deletes them when the driver collects
+    its garbage, so that is done here. Otherwise the shuffles of all steps of a
+    long job lie on the executors' disks until its end."""
+    out = materialize(df, name)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def text_batches(batches, max_bytes: int = 4 << 20):
     """Arrow batches cut into slices of about ``max_bytes`` of data (one row at
     least), so that a worker's Python objects stay bounded."""
@@ -64,7 +76,7 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
     changes nothing; a graph that has not settled after ``max_rounds`` raises.
     """
     spark = edges.sparkSession
-    cur = materialize(
+    cur = stored(
         edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     mark = _mark(cur)
@@ -81,7 +93,7 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
         joined = large.join(low2, "a")
         small = (joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(low2.select("a", F.col("m").alias("b"))).distinct())
-        cur = materialize(small, name)
+        cur = stored(small, name)
         new = _mark(cur)
         if new == mark:
             break

@@ -46,9 +46,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from checkup.llm.common import bitmap_filter, bitmap_split, components, ship, text_batches
+from checkup.llm.common import bitmap_filter, bitmap_split, components, ship, stored, text_batches
 from checkup.llm.shingles import set_digest, shingle_sets
-from checkup.session import materialize
 
 WIDTH, NUM, DEN = 5, 80, 100
 SAMPLE_SHARE = 0.3  # of the hash range; the filter of step 2 needs more than 1 - NUM / DEN
@@ -135,7 +134,7 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text
 
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (``a, b``) that link. Both hash orders filter first."""
-    pairs = materialize(pairs, "jaccard-pairs")
+    pairs = stored(pairs, "jaccard-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("d"))
     sets = bitmap_filter(sets, ids, "d")  # sets in no pair are not shuffled
     left = sets.select(F.col("d").alias("a"), F.col("tokens").alias("x"))
@@ -162,7 +161,7 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
                           num: int = NUM, den: int = DEN, share: float = SAMPLE_SHARE) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs``."""
-    sig = materialize(signatures(docs, width, id_col, text_col), "jaccard-signatures")
+    sig = stored(signatures(docs, width, id_col, text_col), "jaccard-signatures")
     nodes = (sig.where("n > 0").groupBy("d")
              .agg(F.min(_node_key()).alias("kid"), F.max("n").alias("n"), F.min("doc_id").alias("low")))
     # 2. nodes with p tokens that no other set has are done
@@ -170,18 +169,18 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
            .groupBy("key").agg(F.min("d").alias("d"), F.max("d").alias("other")).where("d = other")
            .groupBy("d").agg(F.count("*").alias("alone")))
     p = _prefix_column(F.col("n"), num, den)
-    left = materialize(nodes.join(own, "d", "left").where(F.coalesce("alone", F.lit(0)) < p)
+    left = stored(nodes.join(own, "d", "left").where(F.coalesce("alone", F.lit(0)) < p)
                        .select("d", "kid"), "jaccard-nodes")
     # 3. frequency-order prefixes of the nodes left
-    sets = materialize(fetch_sets(docs, left, width, id_col, text_col), "jaccard-sets")
-    members = materialize(_members(sets, num, den), "jaccard-members")
+    sets = stored(fetch_sets(docs, left, width, id_col, text_col), "jaccard-sets")
+    members = stored(_members(sets, num, den), "jaccard-members")
     # 4. each group's central node with every member
     stars = (members.where("d <> pivot")
              .where(_may_link("n", "pos", "pivot_n", "pivot_pos", num, den))
              .select(F.least("pivot", "d").alias("a"), F.greatest("pivot", "d").alias("b")).distinct())
-    links = materialize(verify(stars, sets, num, den), "jaccard-links")
-    first = materialize(components(links, "jaccard-components"), "jaccard-first")
-    links2 = materialize(verify(_remaining(members, first, num, den), sets, num, den), "jaccard-links")
+    links = stored(verify(stars, sets, num, den), "jaccard-links")
+    first = stored(components(links, "jaccard-components"), "jaccard-first")
+    links2 = stored(verify(_remaining(members, first, num, den), sets, num, den), "jaccard-links")
     merged = (components(links.unionByName(links2), "jaccard-components")
               if links2.limit(1).count() else first)
     # 5. every row gets the smallest doc_id of its component
@@ -201,7 +200,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one document of each component, the one with the smallest
     id; exact repeats of a row's id and text go as well. Only documents that
     may go are shuffled. Rows with a null id stay."""
-    comps = materialize(similarity_components(docs, id_col, text_col, **options), "jaccard-rows")
+    comps = stored(similarity_components(docs, id_col, text_col, **options), "jaccard-rows")
     gone = comps.where("component_id <> doc_id").select(F.col("doc_id").alias("__key")).distinct()
     twice = comps.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__key"))
     keyed = docs.withColumn("__key", F.col(id_col).cast("long"))

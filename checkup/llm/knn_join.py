@@ -31,8 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from checkup.llm.common import ship
-from checkup.session import materialize
+from checkup.llm.common import ship, stored
 
 TOP, EVERY, SCALE = 20, 20, 64
 CELL_QUERIES, MAX_PIVOTS = 256, 1024  # queries a cell is meant to hold; most pivots
@@ -135,7 +134,7 @@ def top_products(vectors: DataFrame, k: int = TOP, every: int = EVERY, n_pivots:
     """``query_id, rank, vec_id, score`` for queries whose id ``every`` divides."""
     spark = vectors.sparkSession
     ship(spark)
-    data = materialize(usable(vectors, id_col, vector_col, scale), "knn-vectors")
+    data = stored(usable(vectors, id_col, vector_col, scale), "knn-vectors")
     dim = data.agg(F.max(F.size("v"))).first()[0]
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if dim is None:
@@ -147,7 +146,7 @@ def top_products(vectors: DataFrame, k: int = TOP, every: int = EVERY, n_pivots:
     pivots = np.zeros((len(drawn), dim))
     for i, r in enumerate(drawn):
         pivots[i, :len(r["v"])] = r["v"]
-    placed = materialize(_assign(data, pivots), "knn-cells")
+    placed = stored(_assign(data, pivots), "knn-cells")
     queries = placed.where(F.col("vec_id") % every == 0)
     # summaries: one row per cell
     rows = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
@@ -159,7 +158,7 @@ def top_products(vectors: DataFrame, k: int = TOP, every: int = EVERY, n_pivots:
     per_cell = lambda d: F.element_at(F.map_from_arrays(  # noqa: E731  (one entry per pivot)
         F.array(*[F.lit(int(c)) for c in d]), F.array(*[F.lit(int(n)) for n in d.values()])), F.col("cell"))
     asked = queries.select("cell", _block("vec_id", per_cell(q_blocks)).alias("qb"), "vec_id", "v")
-    asked = materialize(asked, "knn-queries")
+    asked = stored(asked, "knn-queries")
     # a bound from a part of each query's own cell
     parts = {c: -(-rows[c] // PROBE_ROWS) for c in summary}
     some = (placed.where(F.col("cell").isin([int(c) for c in summary])).where(_block("vec_id", per_cell(parts)) == 0)
@@ -187,7 +186,7 @@ def top_products(vectors: DataFrame, k: int = TOP, every: int = EVERY, n_pivots:
                 [pa.array(np.asarray(cells, np.int32)[j]), b.column("vec_id").take(pa.array(i)),
                  b.column("v").take(pa.array(i))], names=["cell", "vec_id", "v"])
 
-    sent = materialize(placed.select("vec_id", "v").mapInArrow(send, "cell int, vec_id long, v array<double>"), "knn-sent")
+    sent = stored(placed.select("vec_id", "v").mapInArrow(send, "cell int, vec_id long, v array<double>"), "knn-sent")
     got = {r["cell"]: r["n"] for r in sent.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     x_blocks = {c: -(-got.get(c, 1) // data_block) for c in cells}
     blocks = (asked.select("cell", "qb", F.explode(F.sequence(F.lit(0), per_cell(x_blocks) - 1)).alias("xb"),

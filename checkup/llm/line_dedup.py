@@ -31,8 +31,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checkup.llm.common import bitmap_filter, bitmap_split, components
-from checkup.session import materialize
+from checkup.llm.common import bitmap_filter, bitmap_split, components, stored
 
 MAX_EDITS, MIN_CHARS = 2, 20
 SALTS = 8
@@ -169,7 +168,7 @@ def _same_letters(a: str, b: str, k: int):
 def verify(pairs: DataFrame, lines: DataFrame, k: int) -> DataFrame:
     """The pairs (``a``, ``b``: line ids) within k edits. Pairs whose letter
     counts differ too much go first; the banded automaton runs on the rest."""
-    pairs = materialize(pairs, "line-pairs")
+    pairs = stored(pairs, "line-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     text = bitmap_filter(lines.select("id", "chars", "line"), ids, "id")
     left = text.select(F.col("id").alias("a"), F.col("chars").alias("ca"), F.col("line").alias("la"))
@@ -206,21 +205,21 @@ def line_classes(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS
     if min_chars < k + 1:
         raise ValueError("lines need a character for each of the k + 1 segments")
     lines = document_lines(docs, min_chars, id_col, text_col)
-    distinct = materialize(
+    distinct = stored(
         lines.groupBy("line").agg(F.min(place()).alias("first"), F.count("*").alias("copies"))
         .select(*_line_key(), "first", "copies", F.char_length("line").alias("chars"), "line"), "line-distinct")
     keys = keys_of(distinct.select("id", "chars", "line"), k)
-    shared = materialize(keys.groupBy("key").agg(F.count("*").alias("size"), F.max("owner").alias("owned"))
+    shared = stored(keys.groupBy("key").agg(F.count("*").alias("size"), F.max("owner").alias("owned"))
                          .where("size > 1 AND owned = 1").select("key"), "line-keys")
-    found = materialize(bitmap_filter(keys, shared, "key").join(shared, "key")
+    found = stored(bitmap_filter(keys, shared, "key").join(shared, "key")
                         .groupBy("key", "id").agg(F.max("owner").alias("owner")), "line-found")
     pivots = (found.where("owner = 1").groupBy("key").agg(F.min("id").alias("pivot")))
-    members = materialize(found.join(pivots, "key"), "line-members")
+    members = stored(found.join(pivots, "key"), "line-members")
     stars = (members.where("id <> pivot")
              .select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct())
-    links = materialize(verify(stars, distinct, k), "line-links")
-    first = materialize(components(links, "line-components"), "line-first")
-    links2 = materialize(verify(_remaining(members, first), distinct, k), "line-links")
+    links = stored(verify(stars, distinct, k), "line-links")
+    first = stored(components(links, "line-components"), "line-first")
+    links2 = stored(verify(_remaining(members, first), distinct, k), "line-links")
     merged = (components(links.unionByName(links2), "line-components") if links2.limit(1).count() else first)
     # lines of one place only are their own class; the others are looked up
     labels = (distinct.select("id", "id2", "first", "copies").join(merged, "id", "left")
@@ -251,7 +250,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` without the lines that are not kept; a document that had lines
     and keeps none goes. All other columns stay as they are. Documents that
     lose no line are not shuffled."""
-    dropped = materialize(
+    dropped = stored(
         line_classes(docs, id_col=id_col, text_col=text_col, **options).where("NOT kept")
         .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__key"), "line_no").distinct()
         .groupBy("__id", "__key").agg(F.collect_set("line_no").alias("__drop")), "line-dropped")

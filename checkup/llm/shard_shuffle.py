@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from checkup.session import materialize
+from checkup.llm.common import stored
+
 
 SHARDS, SEED = 40, 17
 BUCKET_BYTES = 16 << 20
@@ -59,9 +60,9 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_byt
     # pass one
     tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"),
                          F.monotonically_increasing_id().alias("number"))
-    scattered = materialize(
+    scattered = stored(
         tagged.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "number"), F.lit(n_buckets))), "shuffle-scattered")
-    counts = materialize(scattered.groupBy("bucket").agg(F.count("*").alias("n")), "shuffle-counts")
+    counts = stored(scattered.groupBy("bucket").agg(F.count("*").alias("n")), "shuffle-counts")
     n = counts.agg(F.sum("n")).first()[0] or 0
     # pass two; sorted first, so that the draw does not depend on how rows arrived
     buckets = (scattered.groupBy("bucket").agg(F.collect_list(F.struct("number", "record")).alias("rows"))
