@@ -7,9 +7,9 @@ a layer already seen at the same place is not taken again, so cycles end. Each
 layer keeps, for every character, the place in the original text it stems from,
 and secrets found in it are reported at those places. A layer decoded from a
 base64 run maps to the four-character groups that hold it; one that was
-compressed maps to its whole run. Compressed data is unpacked and scanned in
-windows of ``WINDOW`` characters that overlap by ``OVERLAP``, so that a small
-run that unpacks to a huge text is scanned whole in bounded memory.
+compressed maps to all of the packed data. Compressed data is unpacked and
+scanned in windows of ``WINDOW`` bytes that overlap by ``OVERLAP``, so that a
+small run that unpacks to a huge text is scanned whole in bounded memory.
 
 Secrets (leftmost, non-overlapping per kind): ``assign``, a secret-like name
 with a value of six or more characters; ``access``, an access key id of 20 or
@@ -23,9 +23,9 @@ other columns are ignored.
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from checkup.llm.common import ship, text_batches
 
 KINDS = ("assign", "access", "hex")
-WINDOW, OVERLAP = 1 << 20, 1 << 12
+WINDOW, OVERLAP, HEAD = 1 << 20, 1 << 12, 16
 MASK = "[REDACTED]"
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
                      re.IGNORECASE | re.ASCII)
@@ -51,7 +51,22 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 _ESCAPED = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_DIGIT, _NEXT = "[A-Za-z0-9+/_-]", r"\r?\n\x20*"
+_BASE64 = re.compile(rf"{_DIGIT}{{16,}}+(?:{_NEXT}{_DIGIT}++)*+={{0,2}}"
+                     rf"|(?<!{_DIGIT}){_DIGIT}{{4,15}}+(?:{_NEXT}{_DIGIT}{{4,15}}+){{3,}}+(?:{_NEXT}{_DIGIT}++)?={{0,2}}")
+_BETWEEN = re.compile(r"[\r\n\x20=]+")
+_NO_DIGITS = np.frombuffer(b"\r\n =", np.uint8)
+_STANDARD = str.maketrans("-_", "+/")
+# heads of gzip, bzip2, xz and zlib, as bytes and in base64
+_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|x[\x01\x5e\x9c\xda]")
+_MAGIC64 = re.compile(r"H4sI|Qlpo[MNO]|/Td6WFoA|e(?:A[E-H]|F[4-7]|J[w-z]|N[o-r])")
+# no secret, however encoded, takes fewer bytes
+_TELLING = re.compile(rb"[\x20-\x7e\r\n]{11}")
+_WORD = re.compile(r"[!-~]*%[0-9A-Fa-f]{2}[!-~]*")
+_LINE = re.compile(r"[\x20-~]*\\x[0-9A-Fa-f]{2}[\x20-~]*")
+_ONE_PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
+_ONE_ESCAPE = re.compile(r"\\(?:x[0-9A-Fa-f]{2}|[0abfnrtv\\'\"])")
+_SHORT = dict(zip("0abfnrtv\\'\"", b"\0\a\b\f\n\r\t\v\\'\""))
 
 
 def scan(text: str) -> list[tuple[int, int, str]]:
@@ -138,62 +153,164 @@ def _readable(text: str) -> bool:
     return bool(text) and bad * 10 <= len(text)
 
 
-def _unpacked(raw: bytes):
-    """Windows of the text in compressed data, or nothing."""
-    if raw[:2] == b"\x1f\x8b":
-        box = zlib.decompressobj(31)
-    elif raw[:1] == b"\x78" and len(raw) > 1 and (raw[0] << 8 | raw[1]) % 31 == 0:
-        box = zlib.decompressobj()
-    elif raw[:3] == b"BZh":
-        box = bz2.BZ2Decompressor()
-    elif raw[:6] == b"\xfd7zXZ\x00":
-        box = lzma.LZMADecompressor()
-    else:
-        return
-    rest, carry = raw, b""
-    try:
-        while True:
-            part = box.decompress(rest, WINDOW)
-            rest = getattr(box, "unconsumed_tail", b"")
-            window = carry + part
-            if part:
-                yield window.decode("utf-8", "replace")
-            carry = window[-OVERLAP:]
-            done = box.eof or (not part and not rest)
-            if done:
+def _box(head: bytes):
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if head[:1] == b"\x78":
+        return zlib.decompressobj()
+    return bz2.BZ2Decompressor() if head[:3] == b"BZh" else lzma.LZMADecompressor()
+
+
+def _inflated(chunks, left: list | None = None):
+    """What the members of compressed data hold, in parts of ``WINDOW`` bytes at
+    most. ``left`` gets the number of bytes behind the last member."""
+    chunks, rest, box = iter(chunks), b"", None
+    while True:
+        if box is None:
+            behind = len(rest)
+            rest = rest.lstrip(b"\0")  # padding between members
+            while len(rest) < HEAD and (more := next(chunks, None)) is not None:
+                behind += len(more)
+                rest = (rest + more).lstrip(b"\0")
+            if not _MAGIC.match(rest):
+                if left is not None:
+                    left.append(behind)
                 return
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        return
-
-
-def _unbase64(layer: Layer):
-    """A layer for each base64 run that holds readable text or packed data."""
-    for m in _BASE64.finditer(layer.text):
-        run = m.group().rstrip("=")
-        if len(run) % 4 == 1:
-            run = run[:-1]  # a stray last character
+            box = _box(rest)
         try:
-            raw = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
+            part = box.decompress(rest, WINDOW)
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+            return
+        if part:
+            yield part
+        if box.eof:
+            rest, box = box.unused_data, None
             continue
-        a, b = m.span()
-        packed = False
-        for text in _unpacked(raw):
-            packed = True
-            yield Layer(text, np.full(len(text), layer.start[a]), np.full(len(text), layer.end[b - 1]), layer.depth + 1)
-        if packed:
+        rest = getattr(box, "unconsumed_tail", b"")
+        if rest or (part if not hasattr(box, "needs_input") else not box.needs_input):
             continue
+        rest = next(chunks, None)
+        if rest is None:
+            return
+
+
+def _extent(raw: bytes) -> int:
+    """How many bytes the compressed data at the head of ``raw`` takes; 0: none
+    that yields anything."""
+    left, some = [], False
+    for _ in _inflated([raw], left):
+        some = True
+    return len(raw) - sum(left) if some else 0
+
+
+def _windows(chunks):
+    """The text of a stream of bytes, in windows that overlap."""
+    carry = b""
+    for chunk in chunks:
+        window = carry + chunk
+        yield window.decode("utf-8", "replace")
+        carry = window[-OVERLAP:]
+
+
+def _unpacked(raw: bytes):
+    """Windows of the text in compressed data, and in data compressed in it."""
+    seen, head, digest = {hashlib.sha256(raw).digest()}, raw, None
+
+    def noted(chunks):
+        nonlocal head
+        for part in chunks:
+            if len(head) < HEAD:
+                head += part[:HEAD]
+            digest.update(part)
+            yield part
+
+    level = 0
+    while _MAGIC.match(head):
+        level += 1
+        chunks, head, digest = [raw], b"", hashlib.sha256()
+        for _ in range(level):
+            chunks = _inflated(chunks)
         try:
-            text = raw.decode()
-        except UnicodeDecodeError:
-            continue
-        if not _readable(text):
-            continue
-        size = np.fromiter((len(c.encode()) for c in text), np.int64, len(text))
-        stop = np.cumsum(size)
-        group = a + (stop - size) // 3 * 4
-        last = np.minimum(a + ((stop - 1) // 3 + 1) * 4, b) - 1
-        yield Layer(text, layer.start[group], layer.end[last], layer.depth + 1)
+            yield from _windows(noted(chunks))
+        except RecursionError:  # data that unpacks to ever new packed data
+            return
+        if digest.digest() in seen:  # data that unpacks to itself
+            return
+        seen.add(digest.digest())
+
+
+def _packed_layers(layer: Layer, raw: bytes, first: int, last: int):
+    """Layers of what ``raw``, which stems from ``first`` to ``last``, unpacks to."""
+    for text in _unpacked(raw):
+        n = len(text)
+        yield Layer(text, np.broadcast_to(layer.start[first], n), np.broadcast_to(layer.end[last], n), layer.depth + 1)
+
+
+def _raw64(run: str) -> bytes:
+    run = run[:-1] if len(run) % 4 == 1 else run  # a stray last character
+    return binascii.a2b_base64(run + "=" * (-len(run) % 4))
+
+
+def _unbase64(layer: Layer):
+    """Layers for each base64 run, its lines joined: of packed data that begins
+    anywhere in it, and of its text at each of the four alignments."""
+    for m in _BASE64.finditer(layer.text):
+        whole, a = m.group(), m.start()
+        points = np.frombuffer(whole.encode(), np.uint8)
+        at = a + np.flatnonzero(~np.isin(points, _NO_DIGITS))
+        run = _BETWEEN.sub("", whole).translate(_STANDARD)
+        done = 0
+        for h in _MAGIC64.finditer(run):
+            first = h.start()
+            if first < done:
+                continue
+            head = _raw64(run[first:first + 64])
+            try:
+                if not _MAGIC.match(head):
+                    continue
+                _box(head).decompress(head, 1)
+            except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+                continue
+            raw = _raw64(run[first:])
+            size = _extent(raw)
+            if size:
+                done = min(first + -(-size * 4 // 3), len(run))
+                yield from _packed_layers(layer, raw[:size], at[first], at[done - 1])
+        for first in range(4):
+            raw = _raw64(run[first:])
+            if first and not _TELLING.search(raw):
+                continue
+            text = raw.decode("utf-8", "surrogateescape")
+            if not (_readable(text) or _may_decode(text) or scan(text)):
+                continue
+            points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+            size = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+            size[(points >= 0xDC80) & (points < 0xDD00)] = 1
+            stop = np.cumsum(size)
+            group = first + (stop - size) // 3 * 4
+            last = np.minimum(first + ((stop - 1) // 3 + 1) * 4, len(run)) - 1
+            yield Layer(text, layer.start[at[group]], layer.end[at[last]], layer.depth + 1)
+
+
+def _unescaped_packed(layer: Layer, escapes: re.Pattern, stretch: re.Pattern, value):
+    """Layers of packed data that is written with escapes among plain ASCII."""
+    for s in stretch.finditer(layer.text):
+        raw, at, pos = bytearray(), [], s.start()
+        for m in escapes.finditer(layer.text, *s.span()):
+            raw += layer.text[pos:m.start()].encode()
+            at += range(pos, m.start())
+            raw.append(value(m.group()))
+            at.append(m.start())
+            pos = m.end()
+        raw += layer.text[pos:s.end()].encode()
+        at += [*range(pos, s.end()), s.end()]
+        raw, done = bytes(raw), 0
+        for h in _MAGIC.finditer(raw):
+            first = h.start()
+            if first < done or not (size := _extent(raw[first:])):
+                continue
+            done = first + size
+            yield from _packed_layers(layer, raw[first:done], at[first], at[done] - 1)
 
 
 def _children(layer: Layer):
@@ -201,10 +318,13 @@ def _children(layer: Layer):
         got = _replaced(layer, _PERCENT.finditer(layer.text), _unpercent)
         if got:
             yield got
+        yield from _unescaped_packed(layer, _ONE_PERCENT, _WORD, lambda e: int(e[1:], 16))
     if "\\" in layer.text:
         got = _replaced(layer, _ESCAPE.finditer(layer.text), _unescape)
         if got:
             yield got
+        yield from _unescaped_packed(layer, _ONE_ESCAPE, _LINE,
+                                     lambda e: int(e[2:], 16) if e[1] == "x" else _SHORT[e[1]])
     yield from _unbase64(layer)
 
 

@@ -2,6 +2,7 @@ import base64
 import bz2
 import gzip
 import hashlib
+import lzma
 import urllib.parse
 import zlib
 
@@ -77,3 +78,35 @@ def test_rows_and_masking(spark):
     assert out.columns == [*clash.columns, "__n"]
     got = {r.doc_id: r.text for r in out.collect()}
     assert got[0] is None and got[1] == "" and got[2] == MASK and got[3] == "nothing"
+
+
+def wrapped(data, columns=76) -> str:
+    s = b64(data)
+    return "\n".join(s[i:i + columns] for i in range(0, len(s), columns))
+
+
+LONG = f"some text before it, {SECRET}, and words of all kinds behind it " + " ".join(f"w{i * i}" for i in range(60))
+
+
+@pytest.mark.parametrize("hidden", [
+    b64(gzip.compress(gzip.compress(SECRET.encode()))), b64(lzma.compress(gzip.compress(SECRET.encode()))),
+    b64(gzip.compress(bz2.compress(zlib.compress(SECRET.encode())))),
+    b64(gzip.compress(b"nothing here") + gzip.compress(SECRET.encode())),
+    b64(bz2.compress(b"nothing here") + bz2.compress(SECRET.encode())),
+    b64(lzma.compress(b"nothing here") + b"\0" * 4 + lzma.compress(SECRET.encode())),
+    b64(gzip.compress(gzip.compress(b"nothing")) + gzip.compress(gzip.compress(SECRET.encode()))),
+    wrapped(LONG, 64), wrapped(gzip.compress(LONG.encode())), wrapped(LONG).replace("\n", "\r\n"),
+    wrapped(gzip.compress(LONG.encode()), 64), wrapped(gzip.compress(wrapped(LONG).encode()), 12),
+    "path/to/" + b64(SECRET), "v1-" + b64(SECRET), "k_" + b64(gzip.compress(SECRET.encode())),
+    "a/" + b64(zlib.compress(SECRET.encode())), "abc" + b64(b"\xff\xfe" + SECRET.encode()),
+    urllib.parse.quote(gzip.compress(SECRET.encode())), "".join(f"%{c:02X}" for c in zlib.compress(SECRET.encode())),
+    repr(gzip.compress(SECRET.encode(), mtime=0))[2:-1], "".join(f"\\x{c:02x}" for c in bz2.compress(SECRET.encode())),
+])
+def test_packed_wrapped_and_prefixed_layers(hidden):
+    text = f"é before: {hidden} after"
+    at = text.index(hidden)
+    _, spans, _ = find_secrets(text)
+    assert any(k == "assign" and at <= a < b <= at + len(hidden) for a, b, k in spans)
+    clean = redact(text, spans)
+    assert clean.startswith("é before: ") and clean.endswith(" after") and MASK in clean
+    assert not [s for s in find_secrets(clean)[1] if s[2] == "assign"]
