@@ -8,8 +8,9 @@ layer keeps, for every character, the place in the original text it stems from,
 and secrets found in it are reported at those places. A layer decoded from a
 base64 run maps to the four-character groups that hold it; one that was
 compressed maps to all of the packed data. Compressed data is unpacked and
-scanned in windows of ``WINDOW`` bytes that overlap by ``OVERLAP``, so that a
-small run that unpacks to a huge text is scanned whole in bounded memory.
+scanned in windows of about ``WINDOW`` characters that end only where neither a
+secret nor an encoded run can go on, so that a small run that unpacks to a huge
+text is scanned whole; memory grows with the longest stretch without such a place.
 
 Secrets (leftmost, non-overlapping per kind): ``assign``, a secret-like name
 with a value of six or more characters; ``access``, an access key id of 20 or
@@ -41,7 +42,7 @@ from pyspark.sql import types as T
 from checkup.llm.common import ship, text_batches
 
 KINDS = ("assign", "access", "hex")
-WINDOW, OVERLAP, HEAD = 1 << 20, 1 << 12, 16
+WINDOW, LOOK, HEAD = 1 << 20, 1 << 12, 16
 MASK = "[REDACTED]"
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
                      re.IGNORECASE | re.ASCII)
@@ -62,6 +63,9 @@ _MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00
 _MAGIC64 = re.compile(r"H4sI|Qlpo[MNO]|/Td6WFoA|e(?:A[E-H]|F[4-7]|J[w-z]|N[o-r])")
 # no secret, however encoded, takes fewer bytes
 _TELLING = re.compile(rb"[\x20-\x7e\r\n]{11}")
+# what neither a secret nor an encoded run goes on behind
+_CUT = re.compile(r"[^\x20-\x7e\r\n]|(?<![A-Za-z0-9+/_-])\r\n|(?<![A-Za-z0-9+/_\r-])\n"
+                  r"|\n(?=\x20*[^\x20A-Za-z0-9+/_%\\-])")
 _WORD = re.compile(r"[!-~]*%[0-9A-Fa-f]{2}[!-~]*")
 _LINE = re.compile(r"[\x20-~]*\\x[0-9A-Fa-f]{2}[\x20-~]*")
 _ONE_PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
@@ -204,12 +208,33 @@ def _extent(raw: bytes) -> int:
 
 
 def _windows(chunks):
-    """The text of a stream of bytes, in windows that overlap."""
-    carry = b""
+    """The text of a stream of bytes, cut only where no secret and no encoded
+    run, in whatever layer, can go on."""
+    decoder, held, size = codecs.getincrementaldecoder("utf-8")("replace"), [], 0
+    tail = ""
     for chunk in chunks:
-        window = carry + chunk
-        yield window.decode("utf-8", "replace")
-        carry = window[-OVERLAP:]
+        text = decoder.decode(chunk)
+        looked = tail + text
+        held.append(text)
+        size += len(text)
+        tail = looked[-LOOK:]
+        if size < WINDOW:
+            continue
+        cut = 0
+        for stop in range(len(looked), 0, -LOOK):
+            for m in _CUT.finditer(looked, max(stop - 2 * LOOK, 0), stop):
+                cut = m.end()
+            if cut:
+                break
+        back = len(looked) - cut
+        if not cut or back >= size:
+            continue
+        whole = "".join(held)
+        yield whole[:size - back]
+        held, size = [whole[size - back:]], back
+    whole = "".join(held) + decoder.decode(b"", True)
+    if whole:
+        yield whole
 
 
 def _unpacked(raw: bytes):

@@ -3,12 +3,13 @@ import bz2
 import gzip
 import hashlib
 import lzma
+import random
 import urllib.parse
 import zlib
 
 import pytest
 
-from checkup.llm.secrets import MASK, find_secrets, redact, secret_rows, with_redacted, written
+from checkup.llm.secrets import MASK, WINDOW, _windows, find_secrets, redact, secret_rows, with_redacted, written
 from tests.llm.helpers import docs_of
 
 SECRET = "password = hunter2hunter2"
@@ -110,3 +111,26 @@ def test_packed_wrapped_and_prefixed_layers(hidden):
     clean = redact(text, spans)
     assert clean.startswith("é before: ") and clean.endswith(" after") and MASK in clean
     assert not [s for s in find_secrets(clean)[1] if s[2] == "assign"]
+
+
+@pytest.mark.parametrize("inner", [
+    lambda s: b64(gzip.compress(s)), lambda s: wrapped(bz2.compress(s)), lambda s: wrapped(zlib.compress(s), 64),
+    lambda s: "".join(f"%{c:02x}" for c in lzma.compress(s)), lambda s: b64(wrapped(gzip.compress(s)).encode()),
+])
+@pytest.mark.parametrize("shift", [2_000, 9_000, 13_000])
+def test_layers_across_a_window_edge(inner, shift):
+    rnd = random.Random(shift)
+    noise = " ".join("".join(rnd.choices("BCDEFGHIJKLMNOP", k=9)) for _ in range(2_500)).encode()
+    payload = inner(noise + b" " + SECRET.encode() + b" " + noise).encode()
+    plain = b"ordinary words, and a line end.\n" * (WINDOW // 32 + 1)
+    data = plain[:WINDOW - shift] + b" " + payload + b" " + plain[:WINDOW]
+    text = "x " + b64(gzip.compress(data)) + " y"
+    assert len(payload) > 14_000 and "assign" in [k for _, _, k in find_secrets(text)[1]]
+
+
+def test_windows_hold_the_whole_text():
+    lines = b"".join(b"line %d of many, \xc3\xa9 too\r\n" % i for i in range(200_000)) + b"QUJD" * 400_000
+    chunks = [lines[i:i + 65_537] for i in range(0, len(lines), 65_537)]
+    got = list(_windows(iter(chunks)))
+    assert "".join(got) == lines.decode() and len(got) > 3
+    assert all(w.endswith(("\n", "é")) for w in got[:-1]) and len(got[-1]) >= 1_600_000
