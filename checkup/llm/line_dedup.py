@@ -1,8 +1,9 @@
 """Operator 2: near-duplicate lines by a segment-partition edit join.
 
 Lines (``\\n``-separated, blanks at both ends trimmed) of at least ``min_chars``
-code points that differ by at most ``k`` edits are one class; shorter lines
-are left alone. Only Spark SQL functions are used.
+code points that differ by at most ``k`` edits are one class; shorter lines of
+at least ``min_exact`` code points (the job: every line that is not blank) are
+one class where they are equal. Only Spark SQL functions are used.
 
 1. Equal lines are grouped first (combined before the shuffle), so that a line
    of many documents is one distinct line with its first place.
@@ -34,13 +35,14 @@ from pyspark.sql import functions as F
 from checkup.llm.common import bitmap_filter, bitmap_split, components, stored
 
 MAX_EDITS, MIN_CHARS = 2, 20
+MIN_EXACT = 1  # of the registered query and the pipeline
 SALTS = 8
 LAST_ID = 2**63 - 1
 BLANKS = " \t\r\x0b\x0c"
 
 
 def document_lines(docs: DataFrame, min_chars: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text_hash, line_no, line`` of the lines long enough to compare."""
+    """``doc_id, text_hash, line_no, line`` of the lines of ``min_chars`` or more."""
     text = F.col(text_col)
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"),
                         F.posexplode(F.split(text, "\n")).alias("line_no", "raw"))
@@ -198,16 +200,18 @@ def _remaining(members: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def line_classes(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
+                 text_col: str = "text", min_exact: int | None = None) -> DataFrame:
     """``doc_id, text_hash, line_no, class_place, kept`` for every line long
-    enough to compare."""
+    enough to compare: by edits from ``min_chars`` on, shorter ones for being
+    equal from ``min_exact`` on (None: shorter lines are left alone)."""
     if min_chars < k + 1:
         raise ValueError("lines need a character for each of the k + 1 segments")
-    lines = document_lines(docs, min_chars, id_col, text_col)
+    least = min_chars if min_exact is None else max(1, min(min_exact, min_chars))
+    lines = document_lines(docs, least, id_col, text_col)
     distinct = stored(
         lines.groupBy("line").agg(F.min(place()).alias("first"), F.count("*").alias("copies"))
         .select(*_line_key(), "first", "copies", F.char_length("line").alias("chars"), "line"), "line-distinct")
-    keys = keys_of(distinct.select("id", "chars", "line"), k)
+    keys = keys_of(distinct.where(F.col("chars") >= min_chars).select("id", "chars", "line"), k)
     shared = stored(keys.groupBy("key").agg(F.count("*").alias("size"), F.max("owner").alias("owned"))
                          .where("size > 1 AND owned = 1").select("key"), "line-keys")
     found = stored(bitmap_filter(keys, shared, "key").join(shared, "key")

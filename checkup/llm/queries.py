@@ -20,9 +20,9 @@ def op1_ngram_jaccard_join(spark, sf_dir):
 
 
 def op2_line_dedup(spark, sf_dir):
-    from checkup.llm.line_dedup import line_rows
+    from checkup.llm.line_dedup import MIN_EXACT, line_rows
 
-    return line_rows(read_table(spark, sf_dir, "documents"))
+    return line_rows(read_table(spark, sf_dir, "documents"), min_exact=MIN_EXACT)
 
 
 def op3_quality_rules(spark, sf_dir):

@@ -38,9 +38,9 @@ def _recounted(docs: DataFrame, before: DataFrame) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand (nearly) alike in an earlier place."""
-    from checkup.llm.line_dedup import without_repeats
+    from checkup.llm.line_dedup import MIN_EXACT, without_repeats
 
-    return _recounted(without_repeats(docs), docs)
+    return _recounted(without_repeats(docs, min_exact=MIN_EXACT), docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from checkup.llm import stages
 from checkup.llm.line_dedup import edits_within, line_rows, probe_shifts, without_repeats
+from checkup.llm.queries import QUERIES
 from tests.llm.helpers import docs_of, edit_distance, smallest_reachable
 
 
@@ -83,3 +85,17 @@ def test_edges(spark):
     assert got == [("1", 1, True), ("1", 1, True), ("2", 2, True), ("None", 1, False)]
     left = without_repeats(df)
     assert left.columns == df.columns and left.count() == 3
+
+
+def test_equal_short_lines_in_the_query_and_the_stage(spark, workdir):
+    texts = ["Menu\nthe first line of some length\n x ", "Menu \n\nthe second line of some length\nx", "menu\nMenus\n  \nx\r",
+             "Menu\n x", None, "", "the first line of some length!\nMenu"]
+    docs_of(spark, texts).write.parquet(f"{workdir}/documents.parquet")
+    rows = QUERIES["op2_line_dedup"](spark, workdir).collect()
+    got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no) for r in rows}
+    own = lambda *at: {a: a for a in at}
+    assert got == own((0, 0), (0, 1), (0, 2), (1, 2), (2, 0), (2, 1)) | {
+        (1, 0): (0, 0), (1, 3): (0, 2), (2, 3): (0, 2), (3, 0): (0, 0), (3, 1): (0, 2), (6, 0): (0, 1), (6, 1): (0, 0)}
+    assert all(r.kept == (got[r.doc_id, r.line_no] == (r.doc_id, r.line_no)) for r in rows)
+    left = {r.doc_id: r.text for r in stages.line_dedup(spark, docs_of(spark, texts), workdir).collect()}
+    assert left == {0: texts[0], 1: "\nthe second line of some length", 2: "menu\nMenus\n  ", 4: None, 5: ""}
