@@ -7,8 +7,8 @@ number of buckets follows from the input's bytes, so that one fits in memory.
 Pass two gathers each bucket, brings it into Fisher-Yates order (``shuffle``
 with a seed) and places it behind the buckets before it. The places form a
 random permutation of the records; each shard is a stretch of places, so a
-bucket's task can write its records without another shuffle. Only Spark SQL
-functions are used.
+bucket's task writes its records without another shuffle. The query's rows are
+derived from the written shards. Only Spark SQL functions are used.
 
 The law is ``rows``: shard sizes in records differ by one at most.
 
@@ -26,6 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from checkup.llm.common import stored
+from checkup.session import new_work_path
 
 
 SHARDS, SEED = 40, 17
@@ -91,8 +92,12 @@ def write_shards(placed: DataFrame, path: str) -> None:
 
 def shard_rows(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text",
                **options) -> DataFrame:
-    """``doc_id, size, text_crc32, law, shard, slot, grown_shard``."""
+    """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of the records
+    in the shards, which are written to the shared folder and read back."""
     placed = shuffled(docs, shards, text_col=text_col, **options)
+    path = new_work_path(docs.sparkSession, "shards")
+    write_shards(placed, path)
+    placed = docs.sparkSession.read.schema(placed.schema).parquet(path)
     text = F.col(f"record.`{text_col}`")
     return placed.select(
         F.col(f"record.`{id_col}`").cast("long").alias("doc_id"), _size(text).alias("size"),

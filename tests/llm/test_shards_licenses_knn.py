@@ -41,6 +41,16 @@ def test_written_shards(spark, workdir):
     assert back.count() == 90 and back.select("shard").distinct().count() == 8
 
 
+def test_rows_stem_from_written_shards(spark, monkeypatch):
+    paths = []
+    monkeypatch.setattr("checkup.llm.shard_shuffle.write_shards", lambda p, path: paths.append(path) or write_shards(p, path))
+    rows = shard_rows(docs_of(spark, [f"t{i}" for i in range(90)]), 8, bucket_bytes=200)
+    files = rows.inputFiles()
+    assert len(paths) == 1 and files and all(f"/{paths[0].split("/")[-1]}/shard=" in f for f in files)
+    back = {(r.shard, r.slot, r.record.doc_id) for r in spark.read.parquet(paths[0]).collect()}
+    assert {(r.shard, r.slot, r.doc_id) for r in rows.collect()} == back and len(back) == 90
+
+
 def plain_words(text):
     out, cur = [], ""
     for c in ascii_lower(text or "") + " ":
