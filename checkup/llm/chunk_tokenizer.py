@@ -98,17 +98,16 @@ class ChunkEncoder:
         memo, model, others = self.memo, self.tokenizer.model, []
         for piece in new:
             word, mark = (piece[:-1], piece[-1]) if piece[-1] in _MARKS else (piece, "")
-            if not word.isalpha() or max(word) > _LAST_LETTER:
+            low = word.lower()
+            # decided before the memo is asked: some letters become a letter and a
+            # combining mark, which joins the punctuation mark in one pre-token
+            if not word.isalpha() or max(word) > _LAST_LETTER or not low.isalpha():
                 others.append(piece)
                 continue
             if mark and mark not in memo:
                 memo[mark] = self._encode([mark])[0]
             got = memo.get(word)
             if got is None:
-                low = word.lower()
-                if not low.isalpha():
-                    others.append(piece)
-                    continue
                 if not low.isascii():
                     low = "".join(map(_BYTE_CHARS.__getitem__, low.encode()))
                 ids = [t.id for t in model.tokenize(low)]

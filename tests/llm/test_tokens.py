@@ -31,6 +31,19 @@ def test_memo_equals_library(name, mode):
     assert got == [lib.encode(t, add_special_tokens=False).ids for t in some]
 
 
+@pytest.mark.parametrize("mark_first", [False, True])
+def test_word_memo_in_every_order_of_pieces(mark_first):
+    """A word alone and before a mark, in both orders, for all letters that the memo takes from the model."""
+    path = P.path("word_bpe_49k.json")
+    lib, memo = Tokenizer.from_file(path), ChunkEncoder(load_tokenizer(path), "word", "ids")
+    words = [w for c in map(chr, range(0x41, 0x180)) if c.isalpha() for w in (c, f"AB{c}D", f"{c}{c.lower()}")] + ["ŞEHRİ"]
+    for w in words:
+        some = [w + mark for mark in ("", ".", ",", "!", "?", ";", ":")]
+        for text in reversed(some) if mark_first else some:
+            got = np.frombuffer(memo([text])[0], "<u4").tolist()
+            assert got == lib.encode(text, add_special_tokens=False).ids, text
+
+
 def test_counts_and_cache(spark, workdir):
     path, some, cache = P.path("byte_bpe_50k.json"), texts(), f"{workdir}/cache"
     lib = Tokenizer.from_file(path)
