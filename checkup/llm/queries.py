@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checkup.llm import jaccard_sql, knn_join, license_scan
+from checkup.llm import jaccard_sql, knn_join, license_scan, source_audit
 from checkup.llm.common import read_table
 from checkup.session import new_work_path
 
@@ -74,6 +74,16 @@ def op9_byte_level_bpe(spark, sf_dir):
     return round_trip(read_table(spark, sf_dir, "documents"), _vocab("byte_bpe_multi_50k.tiktoken"))
 
 
+def op12_token_alignment(spark, sf_dir):
+    from checkup.llm.token_alignment import alignment_rows
+
+    return alignment_rows(read_table(spark, sf_dir, "documents"), _vocab("byte_bpe_50k.json"), _vocab("piece_bpe_32k.model"))
+
+
+def op13_source_audit(spark, sf_dir):
+    return source_audit.audit_rows(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_line_dedup": op2_line_dedup,
@@ -85,9 +95,12 @@ QUERIES = {
     "op8_license_scans": op8_license_scans,
     "op10_exact_top_k": op10_exact_top_k,
     "op9_byte_level_bpe": op9_byte_level_bpe,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_source_audit": op13_source_audit,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": jaccard_sql.ORACLE_SQL,
     "op8_license_scans": license_scan.oracle_sql(),
     "op10_exact_top_k": knn_join.ORACLE_SQL,
+    "op13_source_audit": source_audit.ORACLE_SQL,
 }
