@@ -54,6 +54,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def step(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back; Spark removes the
+    shuffle files of the job when it has ended, as the table stands in for them."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return materialize(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def text_batches(batches, max_bytes: int = 4 << 20):
     """Arrow batches cut into slices of about ``max_bytes`` of data (one row at
     least), so that a worker's Python objects stay bounded."""

@@ -74,6 +74,12 @@ def op9_byte_level_bpe(spark, sf_dir):
     return round_trip(read_table(spark, sf_dir, "documents"), _vocab("byte_bpe_multi_50k.tiktoken"))
 
 
+def op11_suffix_array_dedup(spark, sf_dir):
+    from checkup.llm.suffix_repeats import repeat_rows
+
+    return repeat_rows(read_table(spark, sf_dir, "documents"))
+
+
 def op12_token_alignment(spark, sf_dir):
     from checkup.llm.token_alignment import alignment_rows
 
@@ -95,6 +101,7 @@ QUERIES = {
     "op8_license_scans": op8_license_scans,
     "op10_exact_top_k": op10_exact_top_k,
     "op9_byte_level_bpe": op9_byte_level_bpe,
+    "op11_suffix_array_dedup": op11_suffix_array_dedup,
     "op12_token_alignment": op12_token_alignment,
     "op13_source_audit": op13_source_audit,
 }
