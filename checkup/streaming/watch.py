@@ -5,15 +5,16 @@ A file source of plan runs (parquet, ``run_id`` increasing in arrival order)
 feeds ``foreachBatch``. Per micro-batch N:
 
 1. summarise each document once (node count, root cost, execution time);
-2. union with the latest runs of the batch's queries from the snapshot written
-   by batch N-1 (one small row per query, partition ``batch_id=N-1`` of the
-   state table); only batch 0 may start without one;
+2. union with the latest runs of the batch's queries, read from the buckets of
+   those queries only (``keyed_state``); only batch 0 may start without state;
 3. pair runs with their previous run and compute verdicts (same code as the
    batch diff), keeping the batch's own runs;
-4. overwrite partition ``batch_id=N`` of the output, then of the snapshot.
+4. overwrite partition ``batch_id=N`` of the output, then write the touched buckets
+   and commit them with one rename.
 
-Both writes replace only batch N's partition, so a replayed batch (after a
-driver or executor loss) gives the same result and nothing doubles. There is no
+What a batch reads and writes follows its own queries, not the number of known
+ones. A replayed batch (after a driver or executor loss) starts from the state
+before it, gives the same rows, and nothing doubles. There is no
 watermark: arrival order decides what "previous" means.
 """
 
@@ -28,6 +29,7 @@ from pyspark.sql import types as T
 from checkup.operators import diff as D
 from checkup.operators.history import latest_runs
 from checkup.session import new_work_path
+from checkup.streaming.keyed_state import KeyedState
 
 _STATE_COLS = ["run_id", "query_hash", "git_ref", "node_count", "root_cost", "execution_time_ms"]
 _STATE_SCHEMA = T.StructType([
@@ -55,28 +57,24 @@ class RegressionWatch:
     state: str
     checkpoint: str
 
+    def known(self, spark: SparkSession) -> KeyedState:
+        """The stored latest run of each query."""
+        return KeyedState(spark, self.state, _STATE_SCHEMA, "query_hash", "run_id")
+
     def _prior(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        if batch_id == 0:
-            return spark.createDataFrame([], _STATE_SCHEMA)
-        # Read only the previous batch's partition: listing stays O(1) however
-        # many batches the watch has run. A missing snapshot is an error: going
-        # on without it would make every run a first run and lose the history.
-        snap = spark.read.schema(_STATE_SCHEMA).parquet(f"{self.state}/batch_id={batch_id - 1}")
-        return snap.select(*_STATE_COLS)
+        """Everything known before a batch (for reports; a batch reads its own buckets only)."""
+        return self.known(spark).rows(batch_id - 1)
 
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         # Each document is parsed once; the summaries feed both writes.
         summ = D.run_summaries(batch).select(*_STATE_COLS).persist()
         try:
-            prior = self._prior(spark, batch_id)
-            combined = prior.unionByName(summ)
-            keys = summ.select(F.col("query_hash").alias("_key")).distinct()
-            concerned = prior.join(keys, F.col("query_hash").eqNullSafe(F.col("_key")), "left_semi")
-            diffs = D.diff_runs(None, summaries=concerned.unionByName(summ))
+            known = self.known(batch.sparkSession)
+            prior = known.prior(batch_id, summ)
+            diffs = D.diff_runs(None, summaries=prior.unionByName(summ))
             fresh = diffs.join(prior.select("run_id"), "run_id", "left_anti")
             _overwrite_partition(fresh, self.output, batch_id)
-            _overwrite_partition(latest_runs(combined).select(*_STATE_COLS), self.state, batch_id)
+            known.advance(batch_id, latest_runs(summ).select(*_STATE_COLS))
         finally:
             summ.unpersist()
 
