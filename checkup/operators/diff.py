@@ -150,7 +150,7 @@ def _delta_columns(z: DataFrame) -> DataFrame:
         "run_id", "prev_run_id",
         F.col("a.node_ord").alias("node_ord"),
         F.col("a.node_type").alias("node_type"),
-        F.coalesce("a.relation", "b.relation").alias("relation"),
+        F.coalesce(F.nullif(F.col("a.relation"), F.lit("")), F.col("b.relation")).alias("relation"),  # an empty name is none
         F.col("b.estimated_cost").alias("cost_before"), F.col("a.estimated_cost").alias("cost_after"),
         F.col("b.estimated_rows").alias("rows_before"), F.col("a.estimated_rows").alias("rows_after"),
         F.col("b.actual_time_ms").alias("time_before"), F.col("a.actual_time_ms").alias("time_after"),

@@ -456,15 +456,21 @@ _DIFFS = (
 
 
 def _node_deltas() -> str:
-    return _plan(
-        "SELECT a.run_id, d.prev_run_id, a.node_ord, a.node_type, coalesce(a.relation, b.relation) AS relation, "
+    # the shared parts are computed once, and the two sides of a pair meet by the
+    # pair's own number and the position
+    ctes = [c.replace(" AS (", " AS MATERIALIZED (", 1) for c in PLAN_CTES + [_PAIRS, _DIFFS]]
+    ctes.append("aligned AS MATERIALIZED (SELECT run_id, prev_run_id FROM diffs WHERE aligned)")
+    ctes.append("before AS MATERIALIZED (SELECT p.run_id, n.node_ord, n.node_type, n.relation, n.estimated_cost, "
+                "n.estimated_rows, n.actual_time_ms FROM aligned p JOIN nodes n ON n.run_id = p.prev_run_id)")
+    return _with(
+        ctes,
+        "SELECT a.run_id, p.prev_run_id, a.node_ord, a.node_type, coalesce(nullif(a.relation, ''), b.relation) AS relation, "
         "b.estimated_cost AS cost_before, a.estimated_cost AS cost_after, "
         "b.estimated_rows AS rows_before, a.estimated_rows AS rows_after, "
         "b.actual_time_ms AS time_before, a.actual_time_ms AS time_after, "
         "a.node_type <> b.node_type AS node_type_changed "
-        "FROM diffs d JOIN nodes a ON a.run_id = d.run_id "
-        "JOIN nodes b ON b.run_id = d.prev_run_id AND b.node_ord = a.node_ord WHERE d.aligned",
-        [_PAIRS, _DIFFS])
+        "FROM aligned p JOIN nodes a ON a.run_id = p.run_id "
+        "JOIN before b ON b.run_id = a.run_id AND b.node_ord = a.node_ord")
 
 
 def _baseline_vs_candidate() -> str:
