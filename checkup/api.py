@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from checkup.operators.advise import UserRule, advise
 from checkup.operators.infer import infer_constraints
 from checkup.operators.history import redact_log
-from checkup.plans.flatten import document_errors, flatten_plans
+from checkup.plans.flatten import document_errors, flatten_plans, trim_plan_documents
 from checkup.sinks.report import record_runs
 from checkup.sources.catalog import Catalog, columns_listing
 from checkup.streaming.watch import RegressionWatch
@@ -44,13 +44,13 @@ def record_and_diff(new_runs: DataFrame, base_path: str, batch_id: int) -> DataF
     latest stored run of each query, then store them.
 
     ``base_path`` holds ``runs`` (history, K4; credentials in query texts are
-    redacted), ``state`` (latest run per query), ``diffs`` and ``errors`` (one
+    redacted, documents trimmed, K5), ``state`` (latest run per query), ``diffs`` and ``errors`` (one
     finding for each document that cannot be read); batch ``batch_id`` must follow the previous one.
     Re-running a batch id replaces its partitions, so nothing doubles."""
     watch = RegressionWatch(source="", output=f"{base_path}/diffs", state=f"{base_path}/state",
                             checkpoint="")
     watch.process_batch(new_runs, batch_id)
-    record_runs(redact_log(new_runs), f"{base_path}/runs", batch_id)
+    record_runs(trim_plan_documents(redact_log(new_runs)), f"{base_path}/runs", batch_id)
     record_runs(document_errors(new_runs), f"{base_path}/errors", batch_id)
     spark = new_runs.sparkSession
     return spark.read.parquet(f"{base_path}/diffs").where(f"batch_id = {int(batch_id)}").drop("batch_id")

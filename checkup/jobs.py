@@ -17,11 +17,15 @@ from checkup.operators import history as H
 from checkup.operators.findings import flat_findings
 from checkup.operators.infer import infer_constraints
 from checkup.operators.profile import column_profile, distinct_values, orphan_ratios
-from checkup.plans.flatten import document_errors, flatten_plans, split_plan_documents, trim_plan_documents
+from checkup.operators.run_store import RunStore
+from checkup.plans.flatten import (document_errors, flatten_plans, plan_summaries, split_plan_documents,
+                                   trim_plan_documents)
+from checkup.session import materialize, new_work_path
 from checkup.sinks.report import ddl_lines, infer_report_lines, report_lines
 from checkup.sources import derived
 from checkup.sources.catalog import Catalog
 from checkup.sources.tables import load_tables
+from checkup.streaming.plan_files import PlanFileStream
 
 # Fixed parameters of the sampled runs (P8) over the test tables.
 SAMPLED_THRESHOLD = 10_000
@@ -236,6 +240,38 @@ def q_regression_watch(spark, sf_dir):
     return replay_as_stream(spark, derived.plan_runs(spark, sf_dir), arrivals=3)
 
 
+def q_record_runs(spark, sf_dir):
+    """H2, K4, K5: the log recorded in three batches, redacted and trimmed, under
+    gapless ids, and read back."""
+    runs = derived.plan_runs(spark, sf_dir).withColumnRenamed("run_id", "order_key").drop("execution_time_ms")
+    store = RunStore(spark, new_work_path(spark, "run-store"))
+    for batch in range(3):
+        part = H.redact_log(runs.where(F.col("order_key") % 3 == batch))
+        store.record(trim_plan_documents(part), batch, ["recorded_at", "order_key"])
+    return store.runs().select("run_id", "order_key", "query_hash", "query_text",
+                               F.get_json_object("plan_json", "$[0]['Planning Time']").cast("double").alias("planning_time_ms"))
+
+
+def q_plan_file_stream(spark, sf_dir):
+    """S2 as a stream: a plan file per supplier, in three arrivals; readable ones are
+    recorded, each broken one is a finding."""
+    base = new_work_path(spark, "plan-files")
+    docs = materialize(derived.supplier_plans(spark, sf_dir), "supplier-plans")
+    stream = PlanFileStream(f"{base}/source", f"{base}/store", f"{base}/quarantine", f"{base}/checkpoint")
+    for arrival in range(3):
+        (docs.where(F.col("l_suppkey") % 3 == arrival).repartition("l_suppkey").write.partitionBy("l_suppkey")
+         .text(f"{base}/source/arrival_{arrival}"))
+        stream.start(spark).awaitTermination()
+    supplier = F.regexp_extract("source", "l_suppkey=([0-9]+)", 1).cast("bigint").alias("supplier")
+    none = F.lit(None)
+    good = plan_summaries(stream.runs(spark), keep=("run_id", "source")).select(
+        supplier, "run_id", none.cast("string").alias("reason"), "node_count", "root_cost")
+    bad = stream.findings(spark).withColumn("source", F.col("location.identifier")).select(
+        supplier, none.cast("bigint").alias("run_id"), F.get_json_object("evidence", "$.reason").alias("reason"),
+        none.cast("bigint").alias("node_count"), none.cast("double").alias("root_cost"))
+    return good.unionByName(bad)
+
+
 JOBS = {
     "column_profile": q_column_profile,
     "column_profile_sampled": q_column_profile_sampled,
@@ -272,4 +308,6 @@ JOBS = {
     "slowdown_history": q_slowdown_history,
     "redact_documents": q_redact_documents,
     "regression_watch": q_regression_watch,
+    "record_runs": q_record_runs,
+    "plan_file_stream": q_plan_file_stream,
 }

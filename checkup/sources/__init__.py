@@ -8,4 +8,4 @@ from checkup.sources.catalog import (  # noqa: F401
     indexes_listing,
     pg_type_name,
 )
-from checkup.sources.plan_docs import read_plan_files  # noqa: F401
+from checkup.sources.plan_docs import read_plan_files, stream_plan_files  # noqa: F401

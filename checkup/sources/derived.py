@@ -122,6 +122,22 @@ def broken_plan_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_runs(spark, sf_dir).withColumn("plan_json", doc)
 
 
+def supplier_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One plan document per supplier of lineitem: an Aggregate over a Seq Scan, whose
+    rows and cost are the supplier's lines and highest price. Of every seven
+    suppliers one has its document cut short and one has a document without a plan."""
+    k = F.col("l_suppkey")
+    t = load_tables(spark, sf_dir, ["lineitem"])["lineitem"].groupBy(k).agg(
+        F.count(F.lit(1)).alias("n"), F.max("l_extendedprice").alias("price"))
+    scan = F.struct(F.lit("Seq Scan").alias("Node Type"), F.lit("line_items").alias("Relation Name"),
+                    F.col("n").alias("Plan Rows"), (F.col("price") / 200).alias("Total Cost"))
+    root = F.struct(F.lit("Aggregate").alias("Node Type"), F.lit(1).alias("Plan Rows"),
+                    (F.col("price") / 100).alias("Total Cost"), F.array(scan).alias("Plans"))
+    doc = (F.when(k % 7 == 1, F.expr("substring(doc, 1, length(doc) - 1)"))
+           .when(k % 7 == 2, F.lit('[{"Planning Time": 1.5}]')).otherwise(F.col("doc")))
+    return t.withColumn("doc", F.to_json(F.array(F.struct(root.alias("Plan"))))).select(k, doc.alias("doc"))
+
+
 def as_is_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """All test tables; lineitem and orders gain one column with nulls each."""
     t = load_tables(spark, sf_dir)

@@ -473,6 +473,24 @@ def _node_deltas() -> str:
         "JOIN before b ON b.run_id = a.run_id AND b.node_ord = a.node_ord")
 
 
+def _record_runs() -> str:
+    text = ("CASE WHEN o_orderkey % 2 = 0 THEN 'SELECT * FROM orders WHERE o_custkey = ' || CAST(o_custkey AS VARCHAR) || "
+            "' AND note <> ''As Is''' ELSE 'select *' || chr(10) || '  FROM   Orders where O_CUSTKEY = ' || "
+            "CAST(o_custkey AS VARCHAR) || '  and NOTE <> ''As Is'' ' END")
+    return _plan(
+        "SELECT row_number() OVER (ORDER BY o.o_orderkey % 3, o.o_orderdate, o.o_orderkey) AS run_id, "
+        f"o.o_orderkey AS order_key, r.query_hash, {text} AS query_text, r.planning_time_ms "
+        "FROM orders o JOIN runs r ON r.run_id = o.o_orderkey")
+
+
+def _plan_file_stream() -> str:
+    return ("WITH s AS (SELECT l_suppkey AS supplier, max(l_extendedprice) / 100 AS root_cost, "
+            "CASE l_suppkey % 7 WHEN 1 THEN 'not_json' WHEN 2 THEN 'no_plan' END AS reason FROM lineitem GROUP BY l_suppkey) "
+            "SELECT supplier, row_number() OVER (ORDER BY supplier % 3, CAST(supplier AS VARCHAR) || '/') AS run_id, "
+            "reason, 2::BIGINT AS node_count, root_cost FROM s WHERE reason IS NULL "
+            "UNION ALL SELECT supplier, NULL, reason, NULL, NULL FROM s WHERE reason IS NOT NULL")
+
+
 def _baseline_vs_candidate() -> str:
     return _plan(
         "SELECT p.before_run_id, p.after_run_id, "
@@ -538,6 +556,8 @@ def oracle_sql() -> dict[str, str]:
                                "ORDER BY run_id) AS prev_run_id FROM runs"),
         "plan_diffs": _plan("SELECT * FROM diffs", [_PAIRS, _DIFFS]),
         "node_deltas": _node_deltas(),
+        "record_runs": _record_runs(),
+        "plan_file_stream": _plan_file_stream(),
         "baseline_vs_candidate": _baseline_vs_candidate(),
         "slowdown_history": _plan(
             "SELECT query_hash, count(*)::BIGINT AS slower_runs, min(run_id) AS first_slower_run_id, "
