@@ -10,16 +10,17 @@ run and the run count across the borders.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from checkup.functions.fingerprint import query_hash
 from checkup.functions.text import redact_credentials
+from checkup.operators.run_store import with_gapless_ids
+from checkup.session import materialize
 
-# About this many runs are in one range of run ids, at most MAX_BUCKETS ranges.
+# About this many runs are in one range.
 ROWS_PER_BUCKET = 1 << 18
-MAX_BUCKETS = 1024
 
 
 def with_fingerprint(runs: DataFrame, text_col: str = "query_text", out_col: str = "query_hash") -> DataFrame:
@@ -35,27 +36,17 @@ def redact_log(runs: DataFrame, cols: tuple[str, ...] = ("query_text",)) -> Data
     return runs
 
 
-def order_bounds(df: DataFrame, order: str, rows_per_bucket: int) -> list:
-    """Boundaries that cut all rows into about equally large ranges of ``order``
-    (one aggregate; at most ``MAX_BUCKETS`` numbers come to the driver)."""
-    n = df.agg(F.count(F.col(order))).first()[0]
-    ranges = min(MAX_BUCKETS, -(-n // rows_per_bucket))
+def in_ranges(df: DataFrame, key: str, order: str, rows_per_range: int) -> DataFrame:
+    """``df`` with ``_b``, a range number that grows with (key, order). The rows are
+    range-partitioned by both columns into as many ranges as their number asks for, so a
+    large key spans several ranges and none has many more than ``rows_per_range`` rows (a third
+    is left for the error of Spark's sampled bounds). More than one range is
+    written once, which fixes the bounds for everything that reads them."""
+    ranges = -(-df.count() * 4 // (3 * rows_per_range))
     if ranges < 2:
-        return []
-    at = F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 100 * ranges)
-    return sorted(set(df.agg(at).first()[0]))
-
-
-def bucket_of(order: str, bounds: list) -> Column:
-    """How many boundaries lie below the value, found in two steps of about
-    sqrt(n) comparisons each."""
-    if not bounds:
-        return F.lit(0)
-    step = max(1, int(len(bounds) ** 0.5))
-    every = F.array(*[F.lit(v) for v in bounds])
-    coarse = F.array(*[F.lit(v) for v in bounds[step - 1::step]])
-    skipped = F.size(F.filter(coarse, lambda x: x < F.col(order))) * step
-    return skipped + F.size(F.filter(F.slice(every, skipped + 1, F.lit(step)), lambda x: x < F.col(order)))
+        return df.withColumn("_b", F.lit(0))
+    ranged = df.repartitionByRange(ranges, F.col(key), F.col(order))
+    return materialize(ranged.withColumn("_b", F.spark_partition_id()), "ordered-ranges")
 
 
 def sequence_within(df: DataFrame, key: str, order: str, *, carry: tuple[str, ...] = (),
@@ -65,18 +56,17 @@ def sequence_within(df: DataFrame, key: str, order: str, *, carry: tuple[str, ..
     the previous row, null on the first), ``pos_asc`` (1 = first) and
     ``pos_desc`` (1 = last). Rows with a null key are one group.
 
-    A group never goes to one task whole. The ``order`` values of *all* rows are
-    cut into ranges of about equal count, so however large a group is and
-    however its ids are spread, a (key, range) pair has no more rows than the
-    range. Rows are windowed per (key, range), and nothing is joined on the
-    bare key; a summary row per (key, range) links the ranges. The input is
-    read more than once; pass a materialised table
+    A group never goes to one task whole. All rows are sorted into ranges of
+    (key, order) (``in_ranges``), as many as the data need; rows are windowed per (key, range),
+    and nothing is joined on the bare key. A summary row per (key, range) carries the last row
+    and the count over to the ranges behind it (a prefix scan): there are as many of
+    them as keys and ranges together, as only the first and last key of a range
+    lie in others too. The input is read more than once; pass a materialised table
     (``checkup.session.materialize``) when it is costly to compute.
     """
-    bounds = order_bounds(df, order, rows_per_bucket)
     payload = F.struct(*[F.col(c) for c in (order, *carry)])
     inb = Window.partitionBy(key, "_b").orderBy(order)
-    cut = df.withColumn("_b", bucket_of(order, bounds))
+    cut = in_ranges(df, key, order, rows_per_bucket)
     rows = (cut.withColumn("_prev_in", F.lag(payload).over(inb))
             .withColumn("_pos_in", F.row_number().over(inb).cast("bigint")))
     byb = Window.partitionBy(key).orderBy("_b")
@@ -123,10 +113,8 @@ def previous_runs(runs: DataFrame, key: str = "query_hash", order: str = "run_id
 
 
 def assign_run_ids(new_runs: DataFrame, start_after: int, order_cols: tuple[str, ...] = ("recorded_at",)) -> DataFrame:
-    """H2: ``run_id`` for runs that arrive without one, increasing in
-    ``order_cols`` order and above ``start_after`` (the largest stored id).
-
-    A range-partitioned sort then ``monotonically_increasing_id``: ids grow
-    with the order and no task sees all runs (ids may have gaps)."""
-    ordered = new_runs.orderBy(*order_cols)
-    return ordered.withColumn("run_id", F.monotonically_increasing_id() + F.lit(int(start_after) + 1))
+    """H2: ``run_id`` for runs that arrive without one, in ``order_cols`` order, without
+    gaps, from the first id above ``start_after`` (the largest stored id). See
+    ``run_store`` for ids that two writers cannot both take."""
+    ids = with_gapless_ids(new_runs, order_cols, int(start_after) + 1)
+    return ids.select(*new_runs.columns, "run_id")

@@ -15,9 +15,11 @@ from checkup.sources.catalog import Catalog, columns_listing
 def test_no_range_holds_more_than_its_share_of_a_hot_query(spark):
     hot = spark.range(40_000).select(F.when(F.col("id") % 5 < 4, "hot").otherwise(F.concat(F.lit("q"), F.col("id") % 50)).alias("k"),
                                      F.when(F.col("id") == 0, 1).otherwise(10**12 + F.col("id")).alias("o"))
-    bounds = H.order_bounds(hot, "o", 1000)
-    sizes = hot.groupBy("k", H.bucket_of("o", bounds).alias("b")).count()
-    assert sizes.agg(F.max("count")).first()[0] <= 1300 and len(bounds) >= 35
+    ranged = H.in_ranges(hot, "k", "o", 1000)
+    sizes = ranged.groupBy("_b").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 1300 and sizes.count() >= 35
+    # the number of ranges follows the data: no cap
+    assert H.in_ranges(hot, "k", "o", 20).select("_b").distinct().count() > 1500
     plan = H.sequence_within(hot, "k", "o", rows_per_bucket=1000)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
