@@ -30,7 +30,7 @@ def infer(tables: dict[str, DataFrame], catalog: Catalog | None = None, **option
 
 
 def report(runs: DataFrame, catalog: Catalog | None = None, *, json_col: str = "plan_json",
-           extra_rules: list[UserRule] | None = None, isolate: bool = False) -> DataFrame:
+           extra_rules: list[UserRule] | None = None, isolate: bool = True) -> DataFrame:
     """Findings of the plan rules over every document in ``runs`` (which needs
     ``run_id`` and the document column), and one for each document that cannot
     be read."""

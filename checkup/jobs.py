@@ -272,6 +272,25 @@ def q_plan_file_stream(spark, sf_dir):
     return good.unionByName(bad)
 
 
+def q_user_rules(spark, sf_dir):
+    """Three rules of a user over the plan log: one that finds sorts on disk below
+    large joins, one that fails while it runs on some row, one that does not apply."""
+    nodes, cat = _nodes_and_catalog(spark, sf_dir)
+    note = [F.lit("INFO").alias("severity"), F.lit("").alias("detail"), "run_id", "node_ord"]
+
+    def wide(nodes, catalog):
+        return nodes.where("node_type = 'SORT' AND estimated_rows >= 40").select(F.lit("Wide sort").alias("title"), *note)
+
+    def breaks(nodes, catalog):
+        wrong = F.when(F.col("node_ord") > 3, F.raise_error(F.lit("no such node"))).otherwise(F.lit("Never seen"))
+        return nodes.select(wrong.cast("string").alias("title"), *note)
+
+    rules = [A.UserRule("user.wide_sort", wide), A.UserRule("user.breaks", breaks),
+             A.UserRule("user.not_here", breaks, applies_to=lambda nodes, catalog: "sort_key" in nodes.columns)]
+    found = A.run_user_rules(nodes, cat, rules)[0]
+    return found.select("rule_id", "severity", "title", "run_id", "node_ord")
+
+
 JOBS = {
     "column_profile": q_column_profile,
     "column_profile_sampled": q_column_profile_sampled,
@@ -308,6 +327,7 @@ JOBS = {
     "slowdown_history": q_slowdown_history,
     "redact_documents": q_redact_documents,
     "regression_watch": q_regression_watch,
+    "user_rules": q_user_rules,
     "record_runs": q_record_runs,
     "plan_file_stream": q_plan_file_stream,
 }

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from checkup import schemas
+from checkup.session import materialize
 
 INFO, SUGGEST, WARN, CRITICAL = "INFO", "SUGGEST", "WARN", "CRITICAL"
 
@@ -93,6 +96,33 @@ def conform(df: DataFrame, rule_id: str, rank: int) -> DataFrame:
     return df.select(*cols)
 
 
+def isolated_findings(spark, rules: list[tuple[str, int, Callable[[], DataFrame]]]) -> DataFrame:
+    """The findings of several rules (id, rank, function that plans the rule), computed
+    in one job and written once. A rule that fails, while it is planned or while it
+    runs, is one WARN finding, and the others keep all theirs: when the one job
+    fails, and only then, each rule is computed by itself to find the culprit."""
+    planned = []
+    for rule_id, rank, build in rules:
+        try:
+            planned.append((rule_id, rank, conform(build(), rule_id, rank), None))
+        except Exception as exc:  # noqa: BLE001 -- one bad rule must not stop the others
+            planned.append((rule_id, rank, None, exc))
+    failed = [failed_rule(spark, r, k, exc) for r, k, _, exc in planned if exc is not None]
+    good = [(r, k, df) for r, k, df, exc in planned if exc is None]
+    if not good:
+        return union_findings(spark, failed)
+    try:
+        return union_findings(spark, [materialize(union_findings(spark, [df for _, _, df in good]), "findings"), *failed])
+    except Exception:  # noqa: BLE001 -- some rule failed while it ran
+        parts = []
+        for rule_id, rank, df in good:
+            try:
+                parts.append(materialize(df, "findings-of-rule"))
+            except Exception as exc:  # noqa: BLE001
+                parts.append(failed_rule(spark, rule_id, rank, exc))
+        return union_findings(spark, parts + failed)
+
+
 def failed_rule(spark, rule_id: str, rank: int, exc: Exception) -> DataFrame:
     """The one finding that stands for a rule that failed."""
     return spark.range(1).select(*finding_columns(

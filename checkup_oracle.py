@@ -483,6 +483,12 @@ def _record_runs() -> str:
         "FROM orders o JOIN runs r ON r.run_id = o.o_orderkey")
 
 
+def _user_rules() -> str:
+    return _plan("SELECT 'user.wide_sort' AS rule_id, 'INFO' AS severity, 'Wide sort' AS title, run_id, node_ord FROM nodes "
+                 "WHERE node_type = 'SORT' AND estimated_rows >= 40 "
+                 "UNION ALL SELECT 'user.breaks', 'WARN', 'Advisor user.breaks failed', NULL, NULL")
+
+
 def _plan_file_stream() -> str:
     return ("WITH s AS (SELECT l_suppkey AS supplier, max(l_extendedprice) / 100 AS root_cost, "
             "CASE l_suppkey % 7 WHEN 1 THEN 'not_json' WHEN 2 THEN 'no_plan' END AS reason FROM lineitem GROUP BY l_suppkey) "
@@ -557,6 +563,7 @@ def oracle_sql() -> dict[str, str]:
         "plan_diffs": _plan("SELECT * FROM diffs", [_PAIRS, _DIFFS]),
         "node_deltas": _node_deltas(),
         "record_runs": _record_runs(),
+        "user_rules": _user_rules(),
         "plan_file_stream": _plan_file_stream(),
         "baseline_vs_candidate": _baseline_vs_candidate(),
         "slowdown_history": _plan(

@@ -179,3 +179,30 @@ def test_user_rule_reads_raw_node(spark):
     f = [r for r in A.advise(nodes, extra_rules=[A.UserRule("user.workers", workers)]).collect()
          if r.rule_id == "user.workers"]
     assert len(f) == 1 and f[0].detail == "2 of 4 workers" and f[0].node_ord == 1
+
+
+def test_one_failing_rule_keeps_all_other_findings(spark):
+    from pyspark.sql import functions as F
+
+    from checkup.operators.infer import DataRule, infer_constraints
+    from checkup.sources.catalog import Catalog, columns_listing
+
+    nodes = _nodes(spark, P.SLOW, P.FAST)
+    say = [F.lit("INFO").alias("severity"), F.lit("t").alias("title"), F.lit("d").alias("detail"), "run_id", "node_ord"]
+    late = F.when(F.col("node_ord") > 1, F.raise_error(F.lit("row k"))).otherwise(F.lit("x")).cast("string")
+    rules = [A.UserRule("user.all", lambda n, c: n.select(*say)),
+             A.UserRule("user.late", lambda n, c: n.select(late.alias("title"), *[x for x in say[0:1] + say[2:]])),
+             A.UserRule("user.early", lambda n, c: n.select("no such column")),
+             A.UserRule("user.silent", lambda n, c: n.select("no such column"), applies_to=lambda n, c: False),
+             A.UserRule("user.unsure", lambda n, c: n.select(*say), applies_to=lambda n, c: 1 / 0)]
+    rows = A.run_user_rules(nodes, None, rules)[0].collect()
+    failed = {r.rule_id for r in rows if r.title.endswith("failed")}
+    assert failed == {"user.late", "user.early", "user.unsure"} and all(r.severity == "WARN" for r in rows if r.rule_id in failed)
+    assert sum(r.rule_id == "user.all" for r in rows) == nodes.count() and len(rows) == nodes.count() + 3
+    table = {"t": spark.createDataFrame([(1, "a"), (2, "b")], "id int, s string")}
+    catalog = Catalog(columns_listing(spark, table))
+    late_rule = DataRule("user.data", lambda p, c, t: t["t"].select(
+        F.raise_error(F.lit("late")).cast("string").alias("title"), F.lit("INFO").alias("severity"), F.lit("").alias("detail")))
+    plain = {r.title for r in infer_constraints(table, catalog).collect()}
+    mixed = {r.title for r in infer_constraints(table, catalog, extra_rules=[late_rule]).collect()}  # without being asked
+    assert mixed == plain | {"Advisor user.data failed"} and plain
