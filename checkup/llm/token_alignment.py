@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from checkup.llm.chunk_tokenizer import _BYTE_CHARS, _ODD
 from checkup.llm.common import ship, text_batches
 from checkup.session import materialize
 
-MEMO_BYTES = 64 << 20
+MEMO_BYTES = 96 << 20
 B_SPAN = 1 << 20  # larger than any id of B: a pair is a_id * B_SPAN + b_id
 
 _STATS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()),
@@ -73,15 +74,10 @@ def overlapping_pairs(a_start, a_end, b_start, b_end) -> tuple[np.ndarray, np.nd
     return np.repeat(np.arange(len(n)), n), np.arange(total) - np.repeat(ends - n, n) + np.repeat(first, n)
 
 
-def _runs(lengths: list[np.ndarray], base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the tokens of several pieces on one line, piece i from ``base[i]``."""
-    sizes = np.array([len(x) for x in lengths])
-    flat = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
-    ends = np.cumsum(flat)
-    firsts = np.cumsum(sizes) - sizes
-    before = np.concatenate([[0], ends])[firsts]
-    ends = ends + np.repeat(base - before, sizes)
-    return ends - flat, ends
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all pieces in one array, and how many each piece has."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), sizes
 
 
 class ByteSide:
@@ -139,6 +135,7 @@ class Aligner:
         self.a_len = np.array([len(x) for x in self.a.entry], np.int64)
         self.b_len = np.array([len(x) for x in self.b.entry], np.int64)
         self.text_of = [str(i) for i in range(max(len(self.a.entry), len(self.b.entry)))]
+        self.marked = [c + i for c in ",|;" for i in self.text_of]  # an id behind each mark
         self.memo_bytes, self.memo, self.used = memo_bytes, {}, 0
 
     @staticmethod
@@ -148,60 +145,73 @@ class Aligner:
             return None
         return [p if p[:1] == "\n" else " " + p for p in text.replace("\n", " \n").split(" ")]
 
-    def _checked(self, piece: str, a: list[int], b: list[int]):
-        raw = piece.encode()
-        same = b"".join(map(self.a.entry.__getitem__, a)) == raw == b"".join(map(self.b.entry.__getitem__, b))
-        return (a, b) if same else None
-
-    def align(self, coded: list) -> list:
-        """Coalesces the tokens of all pieces, given as (ids of A, ids of B) or None,
-        at once, each piece on its own stretch of a line."""
-        good = [c for c in coded if c is not None]
-        if not good:
-            return [None] * len(coded)
-        a_ids, b_ids = ([np.array(c[k], np.int64) for c in good] for k in (0, 1))
-        a_lens, b_lens = [self.a_len[x] for x in a_ids], [self.b_len[x] for x in b_ids]
-        sizes = np.array([int(x.sum()) for x in a_lens])
-        base = np.cumsum(sizes) - sizes
-        a_start, a_end = _runs(a_lens, base)
-        b_start, b_end = _runs(b_lens, base)
-        na, ids = len(a_start), np.concatenate(a_ids + b_ids)
+    def align(self, pieces: list[str], a_ids: list[list[int]], b_ids: list[list[int]]) -> list:
+        """Coalesces the tokens of all pieces at once; joined, the pieces are the line
+        on which the tokens lie."""
+        raw = [p.encode() for p in pieces]
+        (a, a_n), (b, b_n) = _flat(a_ids), _flat(b_ids)
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        base = np.cumsum(size) - size
+        if not self._same(raw, size, a, a_n, b, b_n):
+            good = [self._same([r], size[k:k + 1], *_flat([a_ids[k]]), *_flat([b_ids[k]])) for k, r in enumerate(raw)]
+            if not any(good):
+                return [None] * len(pieces)
+            found = iter(self.align(*([x for x, g in zip(y, good) if g] for y in (pieces, a_ids, b_ids))))
+            return [next(found) if g else None for g in good]
+        a_end, b_end = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
+        a_start, b_start = a_end - self.a_len[a], b_end - self.b_len[b]
+        na, ids = len(a), np.concatenate([a, b])
         order, group = coalesce_intervals(np.concatenate([a_start, b_start]), np.concatenate([a_end, b_end]),
-                                          np.repeat([0, 1], [na, len(b_start)]))
+                                          np.repeat([0, 1], [na, len(b)]))
         # in a group all of A, then all of B
         by_group = np.lexsort((order >= na, group))
         token, group = order[by_group], group[by_group]
         side_b = token >= na
-        new_group = np.empty(len(token), bool)
-        new_group[:1], new_group[1:] = True, group[1:] != group[:-1]
-        piece_of = np.repeat(np.arange(len(good)), [len(x) for x in a_ids])
-        piece_of = np.concatenate([piece_of, np.repeat(np.arange(len(good)), [len(x) for x in b_ids])])[token]
-        first = np.searchsorted(piece_of, np.arange(len(good) + 1))
-        mark = np.where(new_group, ";", np.where(side_b & ~np.concatenate([[False], side_b[:-1]]), "|", ",")).tolist()
-        words = [m + self.text_of[i] for m, i in zip(mark, ids[token].tolist())]
-        groups = np.add.reduceat(new_group.astype(np.int64), first[:-1])
-        pa_, pb_ = overlapping_pairs(a_start, a_end, b_start, b_end)
-        ends = a_end[pa_] == b_end[pb_]
-        pa_, pb_ = pa_[ends], pb_[ends]
-        pair = ids[pa_] * B_SPAN + ids[na + pb_]
-        at = np.searchsorted(a_end[pa_], np.append(base, base[-1] + sizes[-1]), side="right")
-        found = iter(
-            (len(a_ids[k]), len(b_ids[k]), int(groups[k]), "".join(words[first[k]:first[k + 1]])[1:],
-             pair[at[k]:at[k + 1]].tobytes()) for k in range(len(good)))
-        return [None if c is None else next(found) for c in coded]
+        new_group, new_side = np.empty(len(token), bool), np.empty(len(token), bool)
+        new_group[0], new_side[0] = True, False
+        new_group[1:], new_side[1:] = group[1:] != group[:-1], side_b[1:] & ~side_b[:-1]
+        kind = np.where(new_group, 2 * len(self.text_of), np.where(new_side, len(self.text_of), 0))
+        words = list(map(self.marked.__getitem__, (kind + ids[token]).tolist()))
+        tokens = np.cumsum(a_n + b_n)
+        groups = np.add.reduceat(new_group.astype(np.int64), tokens - a_n - b_n)
+        x, y = overlapping_pairs(a_start, a_end, b_start, b_end)
+        ends = a_end[x] == b_end[y]
+        x, y = x[ends], y[ends]
+        links = (a[x] * B_SPAN + b[y]).tobytes()
+        at = (8 * np.searchsorted(a_end[x], np.append(base, base[-1] + size[-1]), side="right")).tolist()
+        out, first = [], 0
+        for k, (n_a, n_b, n_groups, last) in enumerate(zip(a_n.tolist(), b_n.tolist(), groups.tolist(), tokens.tolist())):
+            out.append((n_a, n_b, n_groups, "".join(words[first:last])[1:], links[at[k]:at[k + 1]]))
+            first = last
+        return out
+
+    def _same(self, raw, size, a, a_n, b, b_n) -> bool:
+        """Whether the tokens of both sides are the bytes of each piece."""
+        line = b"".join(raw)
+        for entry, lens, ids, n in ((self.a.entry, self.a_len, a, a_n), (self.b.entry, self.b_len, b, b_n)):
+            if b"".join(map(entry.__getitem__, ids.tolist())) != line or not n.all():
+                return False
+            if (np.add.reduceat(lens[ids], np.cumsum(n) - n) != size).any():
+                return False
+        return True
 
     def _learn(self, seen: set) -> None:
-        """Align what the memo lacks. Over its bound in bytes it is emptied; frequent
-        pieces soon come back."""
+        """Align what the memo lacks. Over its bound in bytes the half that came
+        first stays; frequent pieces come early."""
         if self.used > self.memo_bytes:
-            self.memo, self.used = {}, 0
+            self.memo = dict(islice(self.memo.items(), len(self.memo) // 2))
+            self.used = sum(map(self._cost, self.memo.items()))
         new = list(seen.difference(self.memo))
         for k in range(0, len(new), 20_000):
             part = new[k:k + 20_000]
-            coded = [self._checked(*x) for x in zip(part, self.a.ids(part), self.b.ids(part))]
-            for piece, got in zip(part, self.align(coded)):
-                self.memo[piece] = got
-                self.used += 250 + 2 * len(piece) + (0 if got is None else 120 + len(got[3]) + len(got[4]))
+            got = list(zip(part, self.align(part, self.a.ids(part), self.b.ids(part))))
+            self.memo.update(got)
+            self.used += sum(map(self._cost, got))
+
+    @staticmethod
+    def _cost(item) -> int:
+        piece, got = item
+        return 250 + 2 * len(piece) + (0 if got is None else 120 + len(got[3]) + len(got[4]))
 
     def __call__(self, texts: list[str]) -> list:
         """Per text (n_a, n_b, n_groups, groups as text, linked pairs), or None."""
@@ -227,8 +237,7 @@ class Aligner:
         return out
 
     def _whole(self, text: str):
-        a, b = self.a.ids([" " + text])[0], self.b.model.encode(text, num_threads=1)
-        return self.align([self._checked(" " + text, a, b)])[0]
+        return self.align([" " + text], self.a.ids([" " + text]), [self.b.model.encode(text, num_threads=1)])[0]
 
 
 def load_aligner(a_path: str, b_path: str) -> Aligner:
@@ -308,7 +317,7 @@ def document_alignment(text: str, a_path: str, b_path: str) -> list[tuple[int, i
     """The groups of one text: (start, end, ids of A, ids of B), byte offsets in a
     blank and the text. For use inside a job's own function."""
     align = load_aligner(a_path, b_path)
-    got = align([text])[0] if text else None
+    got = align([text])[0]
     out, at = [], 0
     for group in got[3].split(";") if got else []:
         a, b = ([int(x) for x in side.split(",")] for side in group.split("|"))
