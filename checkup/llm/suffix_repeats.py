@@ -96,6 +96,8 @@ class Stretches:
         rows = step(stretch_rows(docs, length, gram), "stretches")
         again = (rows.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("c0"), F.max("c").alias("c1"))
                  .where("k > 1").select("h", (F.col("c0") == F.col("c1")).alias("alike")))
+        # a table of its own, so that the join is a plain one, whose frequent anchors Spark splits
+        again = step(again, "repeated-anchors")
         found = step(rows.join(again, "h"), "repeated-stretches")
         mixed = found.where("NOT alike")
         kinds = mixed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("copies"),
