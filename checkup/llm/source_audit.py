@@ -41,7 +41,7 @@ from checkup.llm.common import ship, text_batches
 from checkup.session import materialize
 
 MIN_DOCS, PRIOR, SCALE, TOP_TERMS = 30, 5, 1_000_000_000, 50
-BLOCK_POSTINGS = 400_000   # counts in a block of terms, about
+BLOCK_POSTINGS = 50_000   # counts in a block of terms, about
 TABLE_ENTRIES = 250_000    # terms counted in a task before they are emitted
 CHUNK = 1 << 20            # bytes of a long text that are split at once
 
