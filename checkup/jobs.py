@@ -14,6 +14,7 @@ from checkup.functions.text import redact_credentials
 from checkup.operators import advise as A
 from checkup.operators import diff as D
 from checkup.operators import history as H
+from checkup.operators.catalog import assemble_catalog, has_unique_on, key_columns_to_lists, lookup_column
 from checkup.operators.findings import flat_findings
 from checkup.operators.infer import infer_constraints
 from checkup.operators.profile import column_profile, distinct_values, orphan_ratios
@@ -21,7 +22,8 @@ from checkup.operators.run_store import RunStore
 from checkup.plans.flatten import (document_errors, flatten_plans, plan_summaries, split_plan_documents,
                                    trim_plan_documents)
 from checkup.session import materialize, new_work_path
-from checkup.sinks.report import ddl_lines, infer_report_lines, report_lines
+from checkup.sinks.report import (ddl_lines, infer_report_lines, read_findings_json, report_lines,
+                                  write_findings_json)
 from checkup.sources import derived
 from checkup.sources.catalog import Catalog
 from checkup.sources.tables import load_tables
@@ -187,6 +189,68 @@ def q_report_lines(spark, sf_dir):
     return report_lines(A.advise(nodes, cat)).select("line")
 
 
+EVIDENCE_DDL = ("rows double, cost double, factor double, estimated double, actual double, sort_method string, "
+                "space_kb long, loops double, indexes array<string>, sampled boolean, sample_size long, "
+                "`distinct` long, `values` array<string>, orphan_ratio double, parent string")
+
+
+def q_findings_evidence(spark, sf_dir):
+    """K1: the findings of all nine rules written as JSON lines and read back, with
+    every field of their evidence."""
+    nodes, cat = _nodes_and_catalog(spark, sf_dir)
+    tables = derived.fk_tables(spark, sf_dir)
+    found = A.advise(nodes, cat).unionByName(infer_constraints(tables, derived.fk_catalog(spark, tables)))
+    path = new_work_path(spark, "findings-json")
+    write_findings_json(found, path)
+    e = F.from_json("evidence", EVIDENCE_DDL).alias("e")
+    return read_findings_json(spark, path).select("rule_id", "location.identifier", "run_id", "node_ord", e).select(
+        "rule_id", "identifier", "run_id", "node_ord", "e.rows", "e.cost", "e.factor", "e.estimated", "e.actual",
+        "e.sort_method", "e.space_kb", "e.loops", F.array_join("e.indexes", "|").alias("indexes"), "e.sampled",
+        "e.sample_size", F.col("e.distinct").alias("distinct_values"), F.array_join("e.values", "|").alias("value_list"),
+        "e.orphan_ratio", "e.parent")
+
+
+# ---- catalog -----------------------------------------------------------------
+
+def _assembled(spark, sf_dir):
+    """The tables and their catalog (C1); its key listings arrive as one row per key
+    column, out of order, and are put into lists (C1a)."""
+    tables = derived.fk_tables(spark, sf_dir)
+    cat = derived.fk_catalog(spark, tables)
+    keys = cat.constraints.select("table_name", "constraint_name", "kind", "definition",
+                                  F.posexplode("column_names").alias("ordinal", "name")).orderBy(F.desc("ordinal"))
+    lists = key_columns_to_lists(keys, ["table_name", "constraint_name", "kind", "definition"], "ordinal", "name", "column_names")
+    return tables, assemble_catalog(Catalog(cat.columns, derived.index_catalog(spark), lists))
+
+
+def q_catalog_check(spark, sf_dir):
+    """What the catalog declares of each column beside what its rows show."""
+    tables, catalog = _assembled(spark, sf_dir)
+    cols = catalog.select("table_name", "indexes", "constraints", F.explode("columns").alias("c")).select(
+        "table_name", F.col("c.name").alias("column_name"), F.col("c.nullable").alias("nullable"),
+        has_unique_on(F.col("indexes"), F.col("constraints"), F.array("c.name")).alias("declared_unique"))
+    seen = column_profile(tables).select("table_name", "column_name", "data_type", "row_count", "null_count", "distinct_count")
+    full = F.col("distinct_count") == F.col("row_count") - F.col("null_count")
+    holds = (F.col("nullable") | (F.col("null_count") == 0)) & (~F.col("declared_unique") | full)
+    return cols.join(seen, ["table_name", "column_name"]).withColumn("holds", holds)
+
+
+def q_key_pair_types(spark, sf_dir):
+    """C4: both columns of each key pair looked up in the catalog, beside the pair's orphans."""
+    tables, catalog = _assembled(spark, sf_dir)
+    catalog = materialize(catalog, "catalog")  # looked up many times
+    ratios = orphan_ratios(tables, ORPHAN_PAIRS).select("child_table", "child_column", "parent_table", "parent_column",
+                                                        "child_rows", "orphan_rows")
+    found = None
+    for table, column in sorted({p[:2] for p in ORPHAN_PAIRS} | {p[2:] for p in ORPHAN_PAIRS}):
+        hit = lookup_column(catalog, table, column).select("table_name", "column.name", "column.data_type")
+        found = hit if found is None else found.unionByName(hit)
+    child = found.toDF("child_table", "child_column", "child_type")
+    parent = found.toDF("parent_table", "parent_column", "parent_type")
+    return (ratios.join(child, ["child_table", "child_column"]).join(parent, ["parent_table", "parent_column"])
+            .withColumn("same_type", F.col("child_type") == F.col("parent_type")))
+
+
 # ---- history and diffs -------------------------------------------------------
 
 def q_query_fingerprint(spark, sf_dir):
@@ -225,6 +289,15 @@ def q_baseline_vs_candidate(spark, sf_dir):
     return D.diff_pairs(D.run_summaries(runs), pairs)
 
 
+def q_baseline_node_deltas(spark, sf_dir):
+    """D3, the nodes: per query, its first run against its latest, position by position."""
+    runs = derived.plan_runs(spark, sf_dir)
+    pairs = (runs.groupBy("query_hash").agg(F.min("run_id").alias("before_run_id"),
+                                            F.max("run_id").alias("after_run_id"))
+             .where(F.col("before_run_id") < F.col("after_run_id")))
+    return D.node_deltas_for_pairs(pairs, materialize(flatten_plans(runs), "nodes"))
+
+
 def q_slowdown_history(spark, sf_dir):
     return D.slowdown_history(D.diff_runs(derived.plan_runs(spark, sf_dir)))
 
@@ -324,6 +397,10 @@ JOBS = {
     "plan_diffs": q_plan_diffs,
     "node_deltas": q_node_deltas,
     "baseline_vs_candidate": q_baseline_vs_candidate,
+    "baseline_node_deltas": q_baseline_node_deltas,
+    "findings_evidence": q_findings_evidence,
+    "catalog_check": q_catalog_check,
+    "key_pair_types": q_key_pair_types,
     "slowdown_history": q_slowdown_history,
     "redact_documents": q_redact_documents,
     "regression_watch": q_regression_watch,

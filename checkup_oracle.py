@@ -517,6 +517,84 @@ def _baseline_vs_candidate() -> str:
         "JOIN summ b ON b.run_id = p.before_run_id JOIN summ a ON a.run_id = p.after_run_id")
 
 
+def _baseline_node_deltas() -> str:
+    ctes = [c.replace(" AS (", " AS MATERIALIZED (", 1) for c in PLAN_CTES]
+    ctes.append("p AS MATERIALIZED (SELECT f.before_run_id, f.after_run_id FROM (SELECT min(run_id) AS before_run_id, "
+                "max(run_id) AS after_run_id FROM runs GROUP BY query_hash HAVING min(run_id) < max(run_id)) f "
+                "JOIN summ b ON b.run_id = f.before_run_id JOIN summ a ON a.run_id = f.after_run_id "
+                "WHERE a.node_count = b.node_count)")
+    ctes.append("before AS MATERIALIZED (SELECT p.after_run_id, n.* FROM p JOIN nodes n ON n.run_id = p.before_run_id)")
+    return _with(
+        ctes,
+        "SELECT a.run_id, b.run_id AS prev_run_id, a.node_ord, a.node_type, coalesce(a.relation, b.relation) AS relation, "
+        "b.estimated_cost AS cost_before, a.estimated_cost AS cost_after, "
+        "b.estimated_rows AS rows_before, a.estimated_rows AS rows_after, "
+        "b.actual_time_ms AS time_before, a.actual_time_ms AS time_after, a.node_type <> b.node_type AS node_type_changed "
+        "FROM nodes a JOIN before b ON b.after_run_id = a.run_id AND b.node_ord = a.node_ord")
+
+
+_EVIDENCE = ["rows", "cost", "factor", "estimated", "actual", "sort_method", "space_kb", "loops", "indexes", "sampled",
+             "sample_size", "distinct_values", "value_list", "orphan_ratio", "parent"]
+
+
+def _evidence_select(rule: str, where: str, sql_from: str, place: str, **values: str) -> str:
+    fields = ", ".join(f"{values.get(e, 'NULL')} AS {e}" for e in _EVIDENCE)
+    return f"SELECT '{rule}' AS rule_id, {where} AS identifier, {place}, {fields} FROM {sql_from}"
+
+
+def _findings_evidence() -> str:
+    not_null, unique = _fk_declared()
+    node, column = "run_id, node_ord", "NULL AS run_id, NULL AS node_ord"
+    scan = "(SELECT *, coalesce(nullif(total_actual_rows, 0.0), estimated_rows) AS rws FROM nodes)"
+    ratios = "\nUNION ALL\n".join(_ratio_select("f", *p) for p in FK_CANDIDATES)
+
+    def of_column(rule, findings, source, **values):
+        # the finding's own SQL says which columns; their figures stand in stats
+        return _evidence_select(rule, "s.table_name || '.' || s.column_name",
+                                f"({findings}) f JOIN {source} s USING (table_name, column_name)", column, **values)
+
+    return _with(PLAN_CTES + _fk_ctes(False), "\nUNION ALL\n".join([
+        _evidence_select("advisor.seq_scan", "relation", f"{scan} WHERE node_type = 'SEQ_SCAN' AND relation IS NOT NULL "
+                         "AND rws >= 10000", node, rows="rws", cost="estimated_cost"),
+        _evidence_select("advisor.row_estimate", "coalesce(relation, node_type)", "nodes WHERE misestimate_factor >= 100", node,
+                         factor="misestimate_factor", estimated="estimated_rows", actual="total_actual_rows"),
+        _evidence_select("advisor.sort_spill", "'Sort'", "nodes WHERE node_type = 'SORT' AND lower(sort_method) LIKE '%external%'",
+                         node, sort_method="sort_method", space_kb="CAST(sort_space_used AS BIGINT)"),
+        _evidence_select("advisor.nested_loop", "'Nested Loop'", "nodes WHERE node_type = 'NESTED_LOOP' AND "
+                         "max_child_loops >= 10000", node, loops="max_child_loops"),
+        _evidence_select("advisor.unused_index", "relation", "nodes WHERE node_type = 'SEQ_SCAN' AND relation = 'orders'", node,
+                         indexes="'ix_orders_customer_id|ix_orders_status'"),
+        of_column("inferencer.not_null", _not_null_sql(not_null), "stats", sampled="s.sampled", sample_size="s.scanned_rows"),
+        of_column("inferencer.unique", _unique_sql(unique), "stats", sampled="s.sampled", sample_size="s.scanned_rows"),
+        of_column("inferencer.enum", _enum_sql(), "(SELECT * FROM stats JOIN vals USING (table_name, column_name))",
+                  sampled="s.sampled", distinct_values="s.distinct_count",
+                  value_list="replace(trim(s.in_list, ''''), ''', ''', '|')"),
+        _evidence_select("inferencer.fk_overlap", "child_table || '.' || child_column",
+                         f"({ratios}) r WHERE orphan_ratio <= 0.0", column, sampled="sampled",
+                         orphan_ratio="orphan_ratio", parent="parent_table || '.' || parent_column"),
+    ]))
+
+
+def _catalog_check() -> str:
+    keys = ", ".join(f"({_lit(t)}, {_lit(v[2])})" for t, v in FK_TABLES.items() if v[2])
+    return _with(_fk_ctes(False) + [f"keys(table_name, column_name) AS (VALUES {keys})"],
+                 "SELECT s.table_name, s.column_name, data_type, k.column_name IS NULL AS nullable, k.column_name IS NOT NULL "
+                 "AS declared_unique, row_count, null_count, distinct_count, k.column_name IS NULL OR (null_count = 0 AND "
+                 "distinct_count = row_count) AS holds FROM stats s LEFT JOIN keys k "
+                 "ON s.table_name = k.table_name AND s.column_name = k.column_name")
+
+
+def _key_pair_types() -> str:
+    kinds = {(t, c): kind for t, v in FK_TABLES.items() for c, kind in v[1]}
+    types = ", ".join(f"({', '.join(map(_lit, (*p, kinds[p[:2]], kinds[p[2:]])))})" for p in ORPHAN_PAIRS)
+    ratios = "\nUNION ALL\n".join(_ratio_select("f", *p) for p in ORPHAN_PAIRS)
+    return _with(_fk_ctes(False) + [f"kinds(child_table, child_column, parent_table, parent_column, child_type, parent_type) AS "
+                                    f"(VALUES {types})"],
+                 "SELECT child_table, child_column, parent_table, parent_column, child_rows, orphan_rows, child_type, "
+                 f"parent_type, child_type = parent_type AS same_type FROM ({ratios}) r "
+                 "JOIN kinds USING (child_table, child_column, parent_table, parent_column)")
+
+
 _REPORT = ("SELECT severity || ': ' || title || ' [' || location_identifier || ']' || chr(10) || '    ' || detail "
            "AS line FROM (" + _ALL_RULES + ") f")
 
@@ -566,6 +644,10 @@ def oracle_sql() -> dict[str, str]:
         "user_rules": _user_rules(),
         "plan_file_stream": _plan_file_stream(),
         "baseline_vs_candidate": _baseline_vs_candidate(),
+        "baseline_node_deltas": _baseline_node_deltas(),
+        "findings_evidence": _findings_evidence(),
+        "catalog_check": _catalog_check(),
+        "key_pair_types": _key_pair_types(),
         "slowdown_history": _plan(
             "SELECT query_hash, count(*)::BIGINT AS slower_runs, min(run_id) AS first_slower_run_id, "
             "arg_min(git_ref, run_id) AS first_slower_git_ref, max(run_id) AS last_slower_run_id, "

@@ -21,7 +21,8 @@ def test_oracle_matches_at_smallest_scale(spark):
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMOKE}/{t}.parquet')")
     sqls = E.oracle_sql()
-    for name in ["infer_all", "plan_diffs", "advise_all", "orphan_ratio", "node_deltas"]:
+    for name in ["infer_all", "plan_diffs", "advise_all", "orphan_ratio", "node_deltas", "findings_evidence",
+                 "catalog_check", "key_pair_types", "baseline_node_deltas"]:
         df = E.queries()[name](spark, SMOKE)
         cur = con.execute(sqls[name])
         cols = [c[0] for c in cur.description]
