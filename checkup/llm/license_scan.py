@@ -1,19 +1,23 @@
 """Operator 8: licence scans by an exact set-similarity join.
 
-A block is a line with up to two lines behind it; its set, and a template's,
-are its distinct words. A block matches a template when it holds at least
-``NUM / DEN`` of the template's words (containment). Words are put into one
+A block is a window of consecutive words, over line ends, as long as the template
+in question with its repeated words, and an eighth more. A block matches a
+template when it holds at least ``NUM / DEN`` of the template's distinct words
+(containment) and all of its telling words, if it has any. Words are put into one
 global order, rarest in the corpus first, and
 
 * *prefix filter*: a matching block holds one of the template's first
   ``|T| - o + 1`` words, o being the overlap that is needed. Documents without
-  any such word take no further part; the others' blocks meet the templates
-  in an equi-join on those words (the templates are a fixed list, broadcast);
-* *length filter*: the block must have o words of the templates' vocabulary;
-* *positional filter*: counted from the first common prefix word, both sides
-  must have o words left.
-
-Only pairs that pass all three have their overlap counted. Separately, fixed
+  any such word take no further part; each place of such a word in the others
+  meets the templates in an equi-join on the word (the templates are a fixed
+  list, broadcast);
+* *length filter*: the words around that place, a window's length to each side,
+  must hold o words of the template;
+* *positional filter*: the word must be the block's first one in the global order,
+  and the template must have o words left from it.
+
+Only pairs that pass have the overlap of each window around the place counted. Long
+texts are cut into overlapping stretches of words first, so that a row stays bounded. Separately, fixed
 phrases are located in the whole text. Only Spark SQL functions are used.
 
 Defined results: null and empty texts have no words, labels or places and
@@ -29,7 +33,8 @@ from pyspark.sql import functions as F
 from checkup.llm.common import lower_ascii
 
 NUM, DEN = 9, 10
-BLOCK_LINES = 3
+SLACK = 8  # a window is longer than its template by one SLACK-th
+STRETCH = 2_000  # words of a text that one row holds, besides a window to each side
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # Phrases and their labels.
@@ -66,9 +71,12 @@ TEMPLATES = [
     ("unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+# Words without which a block is no notice of that licence.
+TELLING = {"lgpl": ["lesser"]}
 
-def template_words(text: str) -> list[str]:
-    """A template's distinct words (ASCII texts), in reading order."""
+
+def all_words(text: str) -> list[str]:
+    """A template's words (ASCII texts), in reading order."""
     out, word = [], ""
     for c in text.lower() + " ":
         if c.isalnum():
@@ -76,7 +84,18 @@ def template_words(text: str) -> list[str]:
         elif word:
             out.append(word)
             word = ""
-    return list(dict.fromkeys(out))
+    return out
+
+
+def template_words(text: str) -> list[str]:
+    """A template's distinct words, in reading order."""
+    return list(dict.fromkeys(all_words(text)))
+
+
+def window_of(text: str) -> int:
+    """The number of words of the blocks that are compared with a template."""
+    n = len(all_words(text))
+    return n + n // SLACK
 
 
 def needed(size: int, num: int = NUM, den: int = DEN) -> int:
@@ -115,23 +134,23 @@ def _places(words: Column, phrase: str) -> Column:
 
 
 def license_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=None,
-                 num: int = NUM, den: int = DEN, block_lines: int = BLOCK_LINES) -> DataFrame:
+                 num: int = NUM, den: int = DEN, stretch: int = STRETCH) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``."""
     spark = docs.sparkSession
     templates = TEMPLATES if templates is None else templates
-    sets = [(label, template_words(t)) for label, t in templates]
-    vocabulary = sorted({w for _, ws in sets for w in ws})
+    vocabulary = sorted({w for _, t in templates for w in all_words(t)})
     order = {w: k for k, w in enumerate(global_order(docs, vocabulary, text_col))}
-    index, prefix_words = [], set()
-    for t, (label, ws) in enumerate(sets):
-        ranks, o = sorted(order[w] for w in ws), needed(len(ws), num, den)
-        prefix = ranks[:len(ranks) - o + 1]
-        prefix_words.update(w for w in ws if order[w] in prefix)
-        index += [(rank, t, label, ranks, prefix, o) for rank in prefix]
-    index = spark.createDataFrame(
-        index, "token int, template int, label string, t array<int>, prefix array<int>, o int")
-    prefix_ranks = F.array(*[F.lit(order[w]) for w in sorted(prefix_words)])
-    rank_of = F.map_from_arrays(_strings(order), F.array(*[F.lit(k) for k in order.values()]))
+    index, prefix_words, reach = [], set(), max((window_of(t) for _, t in templates), default=1)
+    for number, (label, text) in enumerate(templates):
+        t = sorted(template_words(text), key=order.__getitem__)
+        o = needed(len(t), num, den)
+        prefix = t[:len(t) - o + 1]
+        prefix_words.update(prefix)
+        index += [(w, number, label, t, TELLING.get(label, []), o, window_of(text), len(t) - k)
+                  for k, w in enumerate(prefix)]
+    index = spark.createDataFrame(index, "token string, template int, label string, t array<string>, telling array<string>, "
+                                         "o int, width int, rest int")
+    prefix_words = sorted(prefix_words)
 
     low = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
     base = (docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"),
@@ -145,29 +164,39 @@ def license_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spots = F.concat(*[F.col(f"p{k}") for k in range(len(PHRASES))])
     named = F.array_compact(F.array(*[F.when(F.size(f"p{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(PHRASES)]))
 
-    # blocks of the documents that hold a prefix word: the ranks of their words
-    def line_ranks(line):
-        return F.transform(F.array_intersect(words_of(line), _strings(order)), lambda w: rank_of[w])
-
-    lines = F.transform(F.split("low", "\n"), line_ranks)
-    blocks = F.transform(F.sequence(F.lit(1), F.size("ranks")),
-                         lambda i: F.array_sort(F.array_distinct(F.flatten(F.slice("ranks", i, F.lit(block_lines))))))
     base = base.select(
         "row", "doc_id", "n_words", F.size(spots).cast("long").alias("n_base"),
         F.array_min(spots).cast("long").alias("first_word"), F.array_max(spots).cast("long").alias("last_word"),
         F.array_sort(F.array_distinct(named)).alias("base"),
-        F.when(F.arrays_overlap("words", _strings(sorted(prefix_words))), lines).alias("ranks"))
-    least = min((needed(len(ws), num, den) for _, ws in sets), default=1)
-    base = base.withColumn("blocks", F.when(F.col("ranks").isNotNull(), F.array_distinct(F.filter(
-        blocks, lambda b: (F.size(b) >= least) & F.arrays_overlap(b, prefix_ranks)))))
-    cand = (base.drop("ranks").withColumn("block", F.explode_outer("blocks")).drop("blocks")
-            .withColumn("token", F.explode_outer(F.array_intersect("block", prefix_ranks))))
+        F.when(F.arrays_overlap("words", _strings(prefix_words)), F.col("words")).alias("words"))
+
+    # stretches of words, and in each the places of prefix words with the words around them
+    def stretch_at(k):
+        start = F.greatest(k * stretch - reach, F.lit(0))
+        return F.struct((k * stretch - start).alias("first"),
+                        F.slice("words", start + 1, (k + 1) * stretch + reach - start).alias("ws"))
+
+    n_stretches = F.floor((F.size("words") - 1) / stretch).cast("int")
+    parts = base.withColumn("part", F.explode_outer(F.transform(F.sequence(F.lit(0), n_stretches), stretch_at))).drop("words")
+    ws, first = F.col("part.ws"), F.col("part.first")
+    places = F.array_compact(F.transform(ws, lambda w, i: F.when(
+        w.isin(*prefix_words) & (i >= first) & (i < first + stretch),
+        F.struct(w.alias("token"), F.least(i, F.lit(reach - 1)).alias("at"),
+                 F.slice(ws, F.greatest(i - reach + 1, F.lit(0)) + 1,
+                         F.least(i, F.lit(reach - 1)) + reach).alias("around")))))
+    cand = parts.withColumn("place", F.explode_outer(places)).drop("part").select("*", "place.*").drop("place")
     met = cand.join(F.broadcast(index), "token", "left")
-    left = lambda side: F.size(side) - F.array_position(side, F.col("token")) + 1
-    passed = ((F.size("block") >= F.col("o"))
-              & (F.array_min(F.array_intersect("block", "prefix")) == F.col("token"))
-              & (F.least(left("t"), left("block")) >= F.col("o")))
-    overlap = F.when(passed, F.size(F.array_intersect("block", "t")))
+
+    def common(start):
+        return F.array_intersect("t", F.slice("around", start + 1, F.col("width")))  # in the template's order
+
+    starts = F.filter(F.sequence(F.greatest(F.col("at") - F.col("width") + 1, F.lit(0)), F.col("at")),
+                      lambda i: F.array_contains("t", F.get("around", i)))
+    counted = F.array_max(F.transform(F.transform(starts, common), lambda c: F.when(
+        (F.get(c, F.lit(0)) == F.col("token")) & (F.size(F.array_intersect("telling", c)) == F.size("telling")),
+        F.size(c)).otherwise(0)))
+    passed = (F.col("rest") >= F.col("o")) & (F.size(F.array_intersect("t", "around")) >= F.col("o"))
+    overlap = F.when(passed, counted)
     hit = F.col("overlap") >= F.col("o")
     rows = (met.withColumn("overlap", overlap)
             .groupBy("row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base")
@@ -180,12 +209,13 @@ def license_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def oracle_sql() -> str:
-    """The same in DuckDB, with every block against every template."""
-    cut = f"list_filter(string_split_regex(%s, '{BREAKS}'), lambda w: w <> '')"
+    """The same in DuckDB, with every window against every template."""
     words = "list_filter(string_split_regex(low, '%s'), lambda w: w <> '')" % BREAKS
     quote = lambda ws: "[" + ", ".join("'" + w + "'" for w in ws) + "]"
     phrases = ", ".join(f"({quote(p.split(' '))}, '{label}')" for p, label in PHRASES)
-    templates = ", ".join(f"('{label}', {quote(template_words(t))})" for label, t in TEMPLATES)
+    listed = ", ".join(
+        f"('{label}', {quote(template_words(t))}, {quote(TELLING.get(label, []))}::VARCHAR[], {window_of(t)}, "
+        f"{needed(len(template_words(t)))})" for label, t in TEMPLATES)
     return f"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -193,19 +223,19 @@ WITH d AS (
   FROM documents),
 w AS (SELECT r, doc_id, low, {words} AS ws FROM d),
 phrases(p, label) AS (VALUES {phrases}),
-templates(label, ts) AS (VALUES {templates}),
+templates(label, ts, telling, width, o) AS (VALUES {listed}),
 places AS (
   SELECT r, label, unnest(list_filter(range(0, len(ws)), lambda i: ws[i + 1:i + len(p)] = p)) AS pos FROM w, phrases),
 base AS (
   SELECT r, count(*) AS n, min(pos) AS first_word, max(pos) AS last_word, list_distinct(list(label)) AS names
   FROM places GROUP BY r),
-line AS (SELECT r, unnest(string_split(low, chr(10))) AS l, generate_subscripts(string_split(low, chr(10)), 1) AS k FROM d),
-block AS (
-  SELECT r, list_distinct({cut % "concat_ws(' ', l, lead(l, 1) OVER z, lead(l, 2) OVER z)"}) AS bs
-  FROM line WINDOW z AS (PARTITION BY r ORDER BY k)),
-hits AS (
-  SELECT r, label, len(list_intersect(bs, ts)) / len(ts) AS score FROM block, templates
-  WHERE {DEN} * len(list_intersect(bs, ts)) >= {NUM} * len(ts)),
+cand AS (SELECT r, ws, templates.* FROM w, templates WHERE len(list_intersect(ts, ws)) >= o),
+best AS (
+  SELECT r, label, o, len(ts) AS size, list_max(list_transform(
+    list_filter(range(0, len(ws)), lambda i: list_contains(ts, ws[i + 1])),
+    lambda i: CASE WHEN list_has_all(ws[i + 1:i + width], telling) THEN len(list_intersect(ts, ws[i + 1:i + width])) ELSE 0 END)) AS n
+  FROM cand),
+hits AS (SELECT r, label, n / size AS score FROM best WHERE n >= o),
 found AS (SELECT r, list(DISTINCT label) AS names, max(score) AS score FROM hits GROUP BY r)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base,
        CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,

@@ -1,3 +1,4 @@
+import textwrap
 import zlib
 from collections import Counter
 
@@ -73,12 +74,12 @@ def plain_license(text):
             if words[i:i + len(ps)] == ps:
                 spots.append(i)
                 base.add(label)
-    lines, found, score = (text or "").split("\n"), set(), 0.0
-    for i in range(len(lines)):
-        block = set(plain_words(" ".join(lines[i:i + 3])))
-        for label, t in TEMPLATES:
-            t = set(template_words(t))
-            if 10 * len(block & t) >= 9 * len(t):
+    found, score = set(), 0.0
+    for label, notice in TEMPLATES:
+        t, n = set(plain_words(notice)), len(plain_words(notice))
+        for i in range(len(words)):
+            block = set(words[i:i + n + n // 8])
+            if 10 * len(block & t) >= 9 * len(t) and (label != "lgpl" or "lesser" in block):
                 found.add(label)
                 score = max(score, len(block & t) / len(t))
     return (len(words), len(spots), min(spots, default=None), max(spots, default=None), ",".join(sorted(base)),
@@ -97,6 +98,8 @@ def test_licenses_equal_brute_force(spark):
     assert {i: g[:6] for i, g in got.items()} == {i: w[:6] for i, w in want.items()}
     assert all(abs(got[i][6] - want[i][6]) < 1e-12 for i in want)
     assert any("bsd" in g[5] for g in got.values())
+    small = {r.doc_id: tuple(r)[1:] for r in license_rows(clash, stretch=7).collect()}
+    assert small == got
     assert license_rows(docs_of(spark, [])).collect() == []
     assert license_rows(docs_of(spark, ["mit license"] * 2)).count() == 2
     assert needed(7) == 7 and needed(20) == 18
@@ -104,6 +107,20 @@ def test_licenses_equal_brute_force(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_licenses_in_any_wrapping(spark):
+    mit, gpl, lgpl = (next(t for label, t in TEMPLATES if label == name and len(t) > 120) for name in ("mit", "gpl", "lgpl"))
+    by_nc_nd = next(t for label, t in TEMPLATES if label == "cc-by-nc-nd")
+    rnd = np.random.default_rng(5)
+    bag = [w for _, t in TEMPLATES for w in plain_words(t)]
+    spread = " ".join(w for word in bag for w in (word, *["filler"] * 30))  # all words, far apart, on one line
+    texts = [f"intro\n{textwrap.fill(t, n)}\nend" for t in (mit, gpl, lgpl) for n in (60, 72, 80, 10_000)]
+    texts += [spread, by_nc_nd, " ".join(rnd.choice(["alpha", "beta", "gamma"], 5_000)) + " " + mit]
+    got = {r.doc_id: tuple(r)[1:] for r in license_rows(docs_of(spark, texts)).collect()}
+    assert [got[i][5] for i in range(len(texts))] == ["mit"] * 4 + ["gpl"] * 4 + ["lgpl"] * 4 + ["", "cc-by,cc-by-nc-nd", "mit"]
+    assert all(got[i][6] == 1.0 for i in range(12)) and got[12][6] == 0.0
+    assert all(got[i] == plain_license(t) for i, t in enumerate(texts))
+
+
 def brute_top(rows, k, every):
     whole = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in rows
              if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
