@@ -15,8 +15,9 @@ one class where they are equal. Only Spark SQL functions are used.
    every member (linear in the group); after components have been merged, only
    members outside its component are compared with the others of a different
    component. A pair left out is already in one class.
-4. A comparison is a bit-parallel edit distance over a band of 2k + 1 diagonals
-   held in one word, an ``aggregate`` over the shorter line's characters.
+4. A comparison first drops what both lines begin and end with; what is left is
+   compared by a bit-parallel edit distance over a band of 2k + 1 diagonals held
+   in one word, an ``aggregate`` over the shorter one's characters.
 5. Every line gets its class: the first place (by doc_id, then line number) of
    its component. A line is kept where it stands in that place.
 
@@ -156,32 +157,69 @@ def edits_within(a: str, b: str, k: int):
 LETTERS = "eantsior"  # whose numbers are compared
 
 
+def _letter_counts(line):
+    """The numbers of some letters in a line."""
+    return F.struct(*[(F.char_length(line) - F.char_length(F.replace(line, F.lit(c), F.lit("")))).alias(c) for c in LETTERS])
+
+
 def _same_letters(a: str, b: str, k: int):
-    """Whether the counts of some letters differ by no more than k edits can
-    change them: each edit changes two of the counts by one at most."""
+    """Whether the letter counts in columns ``a`` and ``b`` differ by no more than k
+    edits can change them: each edit changes two of the counts by one at most."""
     total = F.lit(0)
     for c in LETTERS:
-        count = lambda x: F.char_length(x) - F.char_length(F.replace(F.col(x), F.lit(c), F.lit("")))  # noqa: E731, B023
-        total = total + F.abs(count(a) - count(b))
+        total = total + F.abs(F.col(a)[c] - F.col(b)[c])
     return total <= 2 * k
 
 
+def _common(a, b, most, end: bool):
+    """How many characters, ``most`` at most, are the same at the start (or the end)
+    of both: a search by halves, each step one comparison of substrings."""
+    cut = (lambda x, n: F.right(x, n)) if end else (lambda x, n: F.substring(x, F.lit(1), n))
+
+    def step(acc, j):
+        n = acc + F.call_function("shiftleft", F.lit(1), j)
+        return F.when((n <= most) & (cut(a, n) == cut(b, n)), n).otherwise(acc)
+
+    bits = F.floor(F.log2(F.greatest(most, F.lit(1)))).cast("int")
+    return F.aggregate(F.sequence(bits, F.lit(0), F.lit(-1)), F.lit(0), step)
+
+
+def _cores(both: DataFrame) -> DataFrame:
+    """``x``, ``y`` (the longer line first): what is left of both without the same
+    beginning and the same end, which change no edit distance."""
+    longer = F.col("ca") >= F.col("cb")
+    out = both.select("a", "b", F.when(longer, F.col("la")).otherwise(F.col("lb")).alias("x"),
+                      F.when(longer, F.col("lb")).otherwise(F.col("la")).alias("y"),
+                      F.greatest("ca", "cb").alias("m"), F.least("ca", "cb").alias("n"))
+    out = out.withColumn("p", _common(F.col("x"), F.col("y"), F.col("n"), end=False))
+    rest = lambda c, size: F.substring(F.col(c), F.col("p") + 1, F.col(size) - F.col("p"))
+    out = out.select("a", "b", rest("x", "m").alias("x"), rest("y", "n").alias("y"),
+                     (F.col("m") - F.col("p")).alias("m"), (F.col("n") - F.col("p")).alias("n"))
+    out = out.withColumn("q", _common(F.col("x"), F.col("y"), F.col("n"), end=True))
+    core = lambda c, size: F.split(F.left(F.col(c), F.col(size) - F.col("q")), "")
+    return out.select("a", "b", core("x", "m").alias("x"), core("y", "n").alias("y"))
+
+
 def verify(pairs: DataFrame, lines: DataFrame, k: int) -> DataFrame:
-    """The pairs (``a``, ``b``: line ids) within k edits. Pairs whose letter
-    counts differ too much go first; the banded automaton runs on the rest."""
+    """The pairs (``a``, ``b``: line ids) within k edits. Letter counts are taken once
+    for each line in a pair, and pairs whose counts or lengths differ too much go
+    before any text is joined to them; the banded automaton runs on what differs
+    in the rest."""
     pairs = stored(pairs, "line-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    text = bitmap_filter(lines.select("id", "chars", "line"), ids, "id")
-    left = text.select(F.col("id").alias("a"), F.col("chars").alias("ca"), F.col("line").alias("la"))
-    right = text.select(F.col("id").alias("b"), F.col("chars").alias("cb"), F.col("line").alias("lb"))
-    both = (pairs.join(left, "a").join(right, "b").where(F.abs(F.col("ca") - F.col("cb")) <= k)
-            .where(_same_letters("la", "lb", k)))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    counts = stored(bitmap_filter(lines.select("id", "chars", "line"), ids, "id").join(ids, "id")
+                    .select("id", "chars", _letter_counts(F.col("line")).alias("letters")), "line-letters")
+    left = counts.select(F.col("id").alias("a"), F.col("chars").alias("ca"), F.col("letters").alias("na"))
+    right = counts.select(F.col("id").alias("b"), F.col("chars").alias("cb"), F.col("letters").alias("nb"))
+    close = stored(pairs.join(left, "a").join(right, "b")
+                   .where((F.abs(F.col("ca") - F.col("cb")) <= k) & _same_letters("na", "nb", k))
+                   .select("a", "b", "ca", "cb"), "line-close")
+    text = bitmap_filter(lines.select("id", "line"), close.select(F.explode(F.array("a", "b")).alias("id")), "id")
+    both = (close.join(text.select(F.col("id").alias("a"), F.col("line").alias("la")), "a")
+            .join(text.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b"))
     n_tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = both.repartition(n_tasks)  # long comparisons in few bytes: not to be joined into few tasks
-    longer = F.col("ca") >= F.col("cb")
-    chars = both.select("a", "b", F.split(F.when(longer, F.col("la")).otherwise(F.col("lb")), "").alias("x"),
-                        F.split(F.when(longer, F.col("lb")).otherwise(F.col("la")), "").alias("y"))
-    return chars.where(edits_within("x", "y", k)).select("a", "b")
+    return _cores(both).where(edits_within("x", "y", k)).select("a", "b")
 
 
 def _remaining(members: DataFrame, comps: DataFrame) -> DataFrame:

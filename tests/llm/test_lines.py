@@ -4,7 +4,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from checkup.llm import stages
-from checkup.llm.line_dedup import edits_within, line_rows, probe_shifts, without_repeats
+from checkup.llm.line_dedup import _cores, edits_within, line_rows, probe_shifts, without_repeats
 from checkup.llm.queries import QUERIES
 from tests.llm.helpers import docs_of, edit_distance, smallest_reachable
 
@@ -71,6 +71,20 @@ def test_banded_distance_equals_levenshtein(spark):
         assert df.where((F.levenshtein("p", "q") <= k) != edits_within("x", "y", k)).count() == 0
 
 
+def test_cores_keep_the_distance(spark):
+    rnd, rows = random.Random(11), [("é" * 5, "é" * 6), ("abc", "abd"), ("q" + "ab" * 3_000, "ab" * 3_000 + "r")]
+    for _ in range(400):
+        a = "".join(rnd.choice("abé") for _ in range(rnd.randrange(3, 30)))
+        rows.append((a, edited(rnd, a, rnd.randrange(1, min(5, len(a))))))
+    df = spark.createDataFrame([(i, i, *r) for i, r in enumerate(rows) if r[0] != r[1]], "a long, b long, la string, lb string")
+    df = df.select("*", F.char_length("la").alias("ca"), F.char_length("lb").alias("cb"))
+    got = {r.a: r for r in _cores(df).collect()}
+    for r in df.collect():
+        x, y = "".join(got[r.a].x), "".join(got[r.a].y)
+        assert edit_distance(x, y) == edit_distance(r.la, r.lb) if len(r.la) < 99 else (x, y) == (r.la, r.lb)
+        assert len(x) >= len(y) and not (y and (x[0] == y[0] or x[-1] == y[-1]))
+
+
 def test_probes_are_the_multi_match_aware_ones():
     assert [len(probe_shifts(2, d)) for d in range(3)] == [5, 4, 3]
 
