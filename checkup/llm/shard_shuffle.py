@@ -1,22 +1,24 @@
 """Operator 7: two-pass external shuffle into shards.
 
-Pass one numbers the records, sends each to a bucket by a seeded hash of its
-number, and writes the records with their buckets. Numbers are distinct, so
-buckets fill uniformly whatever ids, sources or copies the records hold; the
-number of buckets follows from the input's bytes, so that one fits in memory.
-Pass two gathers each bucket, brings it into Fisher-Yates order (``shuffle``
-with a seed) and places it behind the buckets before it. The places form a
-random permutation of the records; each shard is a stretch of places, so a
-bucket's task writes its records without another shuffle. The query's rows are
-derived from the written shards. Only Spark SQL functions are used.
+Pass one numbers the records, scatters them over buckets by a seeded hash of
+their numbers (one shuffle), brings each bucket into Fisher-Yates order
+(``shuffle`` with a seed) and writes it; Spark removes the shuffle's files then.
+Numbers are distinct, so buckets fill uniformly whatever ids, sources or copies
+the records hold; the number of buckets follows from the input's bytes, so that
+one fits in memory. Pass two places each bucket behind the buckets before it.
+The places form a random permutation of the records; each shard is a stretch of
+places, so records go to their shards as they are read. A bucket's offset is one
+number: Spark broadcasts the table of offsets while it is below
+``spark.sql.autoBroadcastJoinThreshold`` and shuffles beyond it. The query's rows
+are derived from the written shards. Only Spark SQL functions are used.
 
 The law is ``rows``: shard sizes in records differ by one at most.
 
 Defined results: a null text has no bytes and the checksum of the empty
 string; null ids are records like others; repeated rows are records of their
 own; an empty table gives an empty result; all columns of the input travel in
-one struct, so no name can clash. Pass one's table fixes the numbers; the order
-inside a bucket is drawn when pass two runs.
+one struct, so no name can clash. Pass one's table fixes numbers and order; the
+same seed gives the same shards under the same partitioning of the input.
 """
 
 from __future__ import annotations
@@ -25,10 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from checkup.llm.common import stored
+from checkup.llm.common import step
 from checkup.session import new_work_path
 
-
 SHARDS, SEED = 40, 17
 BUCKET_BYTES = 16 << 20
 RECORD_BYTES = 16  # counted for each record besides its text
@@ -58,19 +59,19 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_byt
     with its shard and its place there."""
     total = docs.agg(F.sum(_size(F.col(text_col)))).first()[0] or 0
     n_buckets = max(1, -(-total // bucket_bytes))
-    # pass one
+    # pass one; sorted first, so that the draw does not depend on how rows arrived
     tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"),
                          F.monotonically_increasing_id().alias("number"))
-    scattered = stored(
-        tagged.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "number"), F.lit(n_buckets))), "shuffle-scattered")
-    counts = stored(scattered.groupBy("bucket").agg(F.count("*").alias("n")), "shuffle-counts")
-    n = counts.agg(F.sum("n")).first()[0] or 0
-    # pass two; sorted first, so that the draw does not depend on how rows arrived
-    buckets = (scattered.groupBy("bucket").agg(F.collect_list(F.struct("number", "record")).alias("rows"))
-               .join(_offsets(counts), "bucket"))
+    buckets = (tagged.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "number"), F.lit(n_buckets)))
+               .groupBy("bucket").agg(F.collect_list(F.struct("number", "record")).alias("rows")))
     in_order = F.array_sort("rows", lambda a, b: F.when(a["number"] < b["number"], -1).otherwise(1))
-    mixed = buckets.select("offset", F.posexplode(F.shuffle(in_order, F.lit(seed))).alias("at", "row"))
-    return mixed.select(*_stretch(F.col("offset") + F.col("at"), n, shards), F.col("row.record").alias("record"))
+    mixed = step(buckets.select("bucket", F.posexplode(F.shuffle(in_order, F.lit(seed))).alias("at", "row"))
+                 .select("bucket", "at", "row.record"), "shuffle-buckets")
+    # pass two
+    counts = step(mixed.groupBy("bucket").agg(F.count("*").alias("n")), "shuffle-counts")
+    n = counts.agg(F.sum("n")).first()[0] or 0
+    placed = mixed.join(step(_offsets(counts), "shuffle-offsets"), "bucket")
+    return placed.select(*_stretch(F.col("offset") + F.col("at"), n, shards), "record")
 
 
 def _stretch(place, n: int, shards: int):
@@ -85,8 +86,7 @@ def _stretch(place, n: int, shards: int):
 
 
 def write_shards(placed: DataFrame, path: str) -> None:
-    """One folder for each shard, its records with their ``slot``; written by
-    the buckets' tasks as they are."""
+    """One folder for each shard, its records with their ``slot``."""
     placed.write.partitionBy("shard").parquet(path)
 
 
