@@ -100,11 +100,21 @@ def keys_of(lines: DataFrame, k: int) -> DataFrame:
             .where("e IS NOT NULL").select("e.key", "id", "chars", "e.owner"))
 
 
-def edits_within(a: str, b: str, k: int):
-    """Whether the character arrays in columns ``a`` and ``b`` (``a`` not the
-    shorter one) are within k edits.
+def _let(value, body):
+    """``body`` of ``value``, which is evaluated once a row: a lambda's variable is
+    not replaced by its definition when Spark moves or merges expressions."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    The vertical differences of the band of 2k + 1 diagonals are two words
+
+def edits_within(a, b, k: int):
+    """Whether the character arrays ``a`` and ``b`` (columns or their names;
+    ``a`` not the shorter one) are within k edits."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    return _let(F.struct(a.alias("x"), b.alias("y")), lambda p: _banded(p["x"], p["y"], k))
+
+
+def _banded(a, b, k: int):
+    """The vertical differences of the band of 2k + 1 diagonals are two words
     (``vp``, ``vn``); each step takes one character of ``b`` and builds the
     word of its matches in the band."""
     width = 2 * k + 1
@@ -115,9 +125,6 @@ def edits_within(a: str, b: str, k: int):
     def inverse(x):
         return F.lit(full).cast("bigint") - x
 
-    def let(value, body):
-        return F.element_at(F.transform(F.array(value), body), 1)
-
     def bit(x, at):
         return F.shiftright(x, at).bitwiseAND(word(1)) if isinstance(at, int) else F.getbit(x, at).cast("bigint")
 
@@ -126,18 +133,18 @@ def edits_within(a: str, b: str, k: int):
         for t in range(width):
             row = j - k + t
             match = match + F.when(
-                (row >= 1) & (row <= m) & (F.get(F.col(a), row - 1) == F.get(F.col(b), j - 1)), word(1 << t)
+                (row >= 1) & (row <= m) & (F.get(a, row - 1) == F.get(b, j - 1)), word(1 << t)
             ).otherwise(word(0))
 
         def with_match(x):
             vp, vn = acc["vp"], acc["vn"]
             d0 = ((x.bitwiseAND(vp) + vp).bitwiseAND(word(full)).bitwiseXOR(vp)).bitwiseOR(x).bitwiseOR(vn)
-            return let(d0, with_d0)
+            return _let(d0, with_d0)
 
         def with_d0(d0):
             vp, vn = acc["vp"], acc["vn"]
             pair = F.struct(vn.bitwiseOR(inverse(d0.bitwiseOR(vp))).alias("hp"), d0.bitwiseAND(vp).alias("hn"))
-            return let(pair, lambda h: after(d0, h["hp"], h["hn"]))
+            return _let(pair, lambda h: after(d0, h["hp"], h["hn"]))
 
         def after(d0, hp, hn):
             at = F.greatest(F.lit(width - 1) - (j - (m - k)), F.lit(0))
@@ -146,7 +153,7 @@ def edits_within(a: str, b: str, k: int):
             return F.struct(hn.bitwiseOR(inverse(down.bitwiseOR(hp))).alias("vp"), down.bitwiseAND(hp).alias("vn"),
                             d.alias("d"))
 
-        return let(match, with_match)
+        return _let(match, with_match)
 
     start = F.struct(word(((1 << (k + 1)) - 1) << k).alias("vp"), word(0).alias("vn"), word(k).alias("d"))
     run = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda acc: acc["d"])
@@ -176,12 +183,14 @@ def verify(pairs: DataFrame, lines: DataFrame, k: int) -> DataFrame:
     right = text.select(F.col("id").alias("b"), F.col("chars").alias("cb"), F.col("line").alias("lb"))
     both = (pairs.join(left, "a").join(right, "b").where(F.abs(F.col("ca") - F.col("cb")) <= k)
             .where(_same_letters("la", "lb", k)))
+    # long comparisons in few bytes: spread over tasks of their own, and made by a
+    # generator, since Spark would move a plain filter to the few tasks of the join
     n_tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = both.repartition(n_tasks)  # long comparisons in few bytes: not to be joined into few tasks
     longer = F.col("ca") >= F.col("cb")
-    chars = both.select("a", "b", F.split(F.when(longer, F.col("la")).otherwise(F.col("lb")), "").alias("x"),
-                        F.split(F.when(longer, F.col("lb")).otherwise(F.col("la")), "").alias("y"))
-    return chars.where(edits_within("x", "y", k)).select("a", "b")
+    x = F.split(F.when(longer, F.col("la")).otherwise(F.col("lb")), "")
+    y = F.split(F.when(longer, F.col("lb")).otherwise(F.col("la")), "")
+    return (both.repartition(n_tasks, "a", "b").select("a", "b", F.explode(F.array(edits_within(x, y, k))).alias("near"))
+            .where("near").select("a", "b"))
 
 
 def _remaining(members: DataFrame, comps: DataFrame) -> DataFrame:
