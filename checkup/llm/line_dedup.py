@@ -60,15 +60,13 @@ def _line_key(line="line"):
     return [F.xxhash64(F.col(line)).alias("id"), F.xxhash64(F.lit(1), F.col(line)).alias("id2")]
 
 
-def segment_starts(length, k: int):
-    """(start, size) of each of the k + 1 segments, 1-based; the last ones are a
+def segment(length, i, k: int):
+    """(start, size) of segment ``i`` of the k + 1, 1-based; the last ones are a
     character longer where the length does not divide."""
-    base, short = F.floor(length / (k + 1)).cast("int"), (k + 1) - length % (k + 1)
-    out = []
-    for i in range(k + 1):
-        start = base * i + F.greatest(F.lit(i) - short, F.lit(0)) + 1
-        out.append((start, base + F.when(F.lit(i) >= short, 1).otherwise(0)))
-    return out
+    n = F.lit(k + 1)
+    short = n - length % n
+    base = ((length - length % n) / n).cast("int")
+    return (base * i + F.greatest(i - short, F.lit(0)) + 1, base + F.when(i >= short, 1).otherwise(0))
 
 
 def probe_shifts(k: int, delta: int) -> list[tuple[int, int]]:
@@ -84,20 +82,18 @@ def probe_shifts(k: int, delta: int) -> list[tuple[int, int]]:
 
 def keys_of(lines: DataFrame, k: int) -> DataFrame:
     """``key, id, chars, owner``: the lines' segments (owner 1) and the probed
-    substrings that are not segments themselves (owner 0)."""
-    entries = []
-    for delta in range(k + 1):
-        other = F.col("chars") - delta
-        segments = segment_starts(other, k)
-        for i, s in probe_shifts(k, delta):
-            start, size = segments[i]
-            start = start + s
-            key = F.xxhash64(other, F.lit(i), F.substring(F.col("line"), start, size))
-            fits = (start >= 1) & (start + size - 1 <= F.col("chars")) & (size >= 1)
-            own = delta == 0 and s == 0
-            entries.append(F.when(fits, F.struct(key.alias("key"), F.lit(1 if own else 0).alias("owner"))))
-    return (lines.select("id", "chars", F.explode(F.array(*entries)).alias("e"))
-            .where("e IS NOT NULL").select("e.key", "id", "chars", "e.owner"))
+    substrings that are not segments themselves (owner 0). The probes are rows of
+    a constant list, so that the code Spark makes for one is short enough to be
+    compiled well."""
+    probes = F.array(*[F.struct(F.lit(delta).alias("delta"), F.lit(i).alias("i"), F.lit(s).alias("s"))
+                       for delta in range(k + 1) for i, s in probe_shifts(k, delta)])
+    each = lines.select("id", "chars", "line", F.explode(probes).alias("p"))
+    other, i, s = F.col("chars") - F.col("p.delta"), F.col("p.i"), F.col("p.s")
+    start, size = segment(other, i, k)
+    return (each.select("id", "chars", "line", other.alias("other"), i.alias("i"), (start + s).alias("start"),
+                        size.alias("size"), F.when((F.col("p.delta") == 0) & (s == 0), 1).otherwise(0).alias("owner"))
+            .where("start >= 1 AND start + size - 1 <= chars AND size >= 1")
+            .select(F.xxhash64("other", "i", F.expr("substring(line, start, size)")).alias("key"), "id", "chars", "owner"))
 
 
 def _let(value, body):
