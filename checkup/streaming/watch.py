@@ -100,7 +100,7 @@ def replay_as_stream(spark: SparkSession, runs: DataFrame, arrivals: int = 3) ->
     base = new_work_path(spark, "watch")
     watch = RegressionWatch(f"{base}/source/*", f"{base}/diffs", f"{base}/state", f"{base}/checkpoint")
     # Stage the runs once; each arrival is then a cheap cut of the staged copy.
-    runs.write.mode("overwrite").parquet(f"{base}/staged")
+    runs.write.mode("overwrite").option("compression", "zstd").parquet(f"{base}/staged")
     runs = spark.read.parquet(f"{base}/staged")
     bounds = runs.agg(F.min("run_id").alias("lo"), F.max("run_id").alias("hi")).first()
     lo, hi = bounds["lo"], bounds["hi"]
@@ -110,7 +110,7 @@ def replay_as_stream(spark: SparkSession, runs: DataFrame, arrivals: int = 3) ->
     schema = runs.schema
     for i in range(arrivals):
         part = runs.where((F.col("run_id") >= lo + i * step) & (F.col("run_id") < lo + (i + 1) * step))
-        part.write.mode("overwrite").parquet(f"{base}/source/arrival_{i:05d}")
+        part.write.mode("overwrite").option("compression", "zstd").parquet(f"{base}/source/arrival_{i:05d}")
         q = watch.start(spark, schema, available_now=True)
         q.awaitTermination()
     return watch.results(spark).drop("batch_id")
