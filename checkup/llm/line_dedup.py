@@ -156,29 +156,16 @@ def _banded(a, b, k: int):
     return (m - n <= k) & F.when(m <= k, F.lit(True)).when(n == 0, F.lit(False)).otherwise(run <= k)
 
 
-LETTERS = "eantsior"  # whose numbers are compared
-
-
-def _same_letters(a: str, b: str, k: int):
-    """Whether the counts of some letters differ by no more than k edits can
-    change them: each edit changes two of the counts by one at most."""
-    total = F.lit(0)
-    for c in LETTERS:
-        count = lambda x: F.char_length(x) - F.char_length(F.replace(F.col(x), F.lit(c), F.lit("")))  # noqa: E731, B023
-        total = total + F.abs(count(a) - count(b))
-    return total <= 2 * k
-
-
 def verify(pairs: DataFrame, lines: DataFrame, k: int) -> DataFrame:
-    """The pairs (``a``, ``b``: line ids) within k edits. Pairs whose letter
-    counts differ too much go first; the banded automaton runs on the rest."""
+    """The pairs (``a``, ``b``: line ids) within k edits. Most pairs are far apart: Spark's own
+    distance, which stops at k, is compiled and drops those; the banded automaton runs on the rest."""
     pairs = stored(pairs, "line-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     text = bitmap_filter(lines.select("id", "chars", "line"), ids, "id")
     left = text.select(F.col("id").alias("a"), F.col("chars").alias("ca"), F.col("line").alias("la"))
     right = text.select(F.col("id").alias("b"), F.col("chars").alias("cb"), F.col("line").alias("lb"))
     both = (pairs.join(left, "a").join(right, "b").where(F.abs(F.col("ca") - F.col("cb")) <= k)
-            .where(_same_letters("la", "lb", k)))
+            .where(F.levenshtein("la", "lb", k) >= 0))
     # long comparisons in few bytes: spread over tasks of their own, and made by a
     # generator, since Spark would move a plain filter to the few tasks of the join
     n_tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -4,7 +4,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from checkup.llm import stages
-from checkup.llm.line_dedup import edits_within, line_rows, probe_shifts, without_repeats
+from checkup.llm.line_dedup import edits_within, line_rows, probe_shifts, verify, without_repeats
 from checkup.llm.queries import QUERIES
 from tests.llm.helpers import docs_of, edit_distance, smallest_reachable
 
@@ -99,3 +99,14 @@ def test_equal_short_lines_in_the_query_and_the_stage(spark, workdir):
     assert all(r.kept == (got[r.doc_id, r.line_no] == (r.doc_id, r.line_no)) for r in rows)
     left = {r.doc_id: r.text for r in stages.line_dedup(spark, docs_of(spark, texts), workdir).collect()}
     assert left == {0: texts[0], 1: "\nthe second line of some length", 2: "menu\nMenus\n  ", 4: None, 5: ""}
+
+
+def test_far_pairs_do_not_reach_the_automaton(spark):
+    lines = spark.createDataFrame(
+        [(1, "the cat sat on the mat at noon"), (2, "the cat sat on a mat at noon!"), (3, "ten tam cat heat on the masts on")],
+        "id long, line string").withColumn("chars", F.char_length("line"))
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long")
+    near = verify(pairs, lines, 4)
+    assert [tuple(r) for r in near.collect()] == [(1, 2)]
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("aggregate(") < plan.index("levenshtein(")  # above it in the plan
