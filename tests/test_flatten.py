@@ -84,3 +84,24 @@ def test_flatten_is_map_side(spark):
         flatten_plans(_runs(spark, [P.SLOW])).explain()
     plan = buf.getvalue()
     assert "Exchange" not in plan and "Window" not in plan and "Generate" in plan
+
+
+def test_only_asked_for_columns_are_read(spark):
+    deep = P.node("Sort", 9, 7.0, loops=3, plans=[P.node("Seq Scan", 5, 1.0, relation="t", actual=0, loops=2)])
+    for n in range(6):  # deeper than what is read at once
+        deep = P.node("Limit", n, 2.0, plans=[P.node("Seq Scan", 1, 1.0, relation=f"r{n}"), deep])
+    runs = _runs(spark, [P.SLOW, P.doc(deep), "[]", None, P.BIG_SCAN])
+    for cols in (["run_id", "node_ord", "relation"], ["run_id", "node_ord", "max_child_loops"], ["run_id", "node_ord", "depth", "heat"]):
+        few = flatten_plans(runs, columns=cols)
+        assert few.columns == sorted(cols, key=["run_id", "node_ord", "depth", "relation", "max_child_loops", "heat"].index)
+        got = few.select(*cols).orderBy("run_id", "node_ord").collect()
+        assert got == flatten_plans(runs, with_raw=True).select(*cols).orderBy("run_id", "node_ord").collect()
+        assert len(got) == 3 + 14 + 1
+    plan = flatten_plans(runs, columns=["run_id", "node_ord", "relation"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation Name" in plan and "Actual Rows" not in plan
+
+
+def test_summaries_read_no_value_of_the_nodes_below(spark):
+    plan = plan_summaries(_runs(spark, [P.SLOW]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Total Cost: double") <= 2  # of the root: in a list of documents, and at the top
+    assert "Actual Loops" not in plan
