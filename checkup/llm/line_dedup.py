@@ -14,7 +14,10 @@ one class where they are equal. Only Spark SQL functions are used.
 3. Keys that two lines share make groups. Their first line is compared with
    every member (linear in the group); after components have been merged, only
    members outside its component are compared with the others of a different
-   component. A pair left out is already in one class.
+   component. A pair left out is already in one class. Lines of a group with more
+   than ``CROWDED`` such members meet again under finer keys instead: all of the
+   line but two of its ``FINER`` blocks, which is what two edits leave unchanged. Only
+   at the finest blocks are all pairs that are left compared.
 4. A comparison is a bit-parallel edit distance over a band of 2k + 1 diagonals
    held in one word, an ``aggregate`` over the shorter line's characters.
 5. Every line gets its class: the first place (by doc_id, then line number) of
@@ -29,6 +32,8 @@ in joins and by their text in step 1 and step 4.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +42,8 @@ from checkup.llm.common import bitmap_filter, bitmap_split, components, stored
 MAX_EDITS, MIN_CHARS = 2, 20
 MIN_EXACT = 1  # of the registered query and the pipeline
 SALTS = 8
+CROWDED = 32  # members of a group outside its first line's component that are compared with all others
+FINER = (8, 16)  # blocks of a line for the keys of lines in larger groups, one round each
 LAST_ID = 2**63 - 1
 BLANKS = " \t\r\x0b\x0c"
 
@@ -96,6 +103,31 @@ def keys_of(lines: DataFrame, k: int) -> DataFrame:
             .select(F.xxhash64("other", "i", F.expr("substring(line, start, size)")).alias("key"), "id", "chars", "owner"))
 
 
+def block_keys_of(lines: DataFrame, k: int, blocks: int) -> DataFrame:
+    """``key, id, owner`` as ``keys_of``, by all of a line but the blocks that ``k`` <= 2 edits may touch: two
+    blocks with an edit each, or one with all. A line ``delta`` characters shorter has its blocks in front of
+    the first at the same place, those between the two moved by that edit (``net``) and those behind by ``delta``."""
+    if k > 2:
+        raise ValueError("block keys are made for two edits at most")
+    one = [(delta, b, b, delta) for delta in range(k + 1) for b in range(blocks)]
+    two = [(delta, b, c, net) for delta in range(k + 1) for net in (-1, 0, 1) if abs(delta - net) <= 1
+           for b in range(blocks) for c in range(b + 1, blocks)] if k == 2 else []
+    # the list is one constant; column by column, thousands of them would take the driver a minute
+    probes = F.from_json(F.lit(json.dumps([dict(zip(("delta", "b", "c", "net"), p)) for p in one + two])),
+                         "array<struct<delta:int,b:int,c:int,net:int>>")
+    each = lines.select("id", "chars", "line", F.explode(probes).alias("p"))
+    other, b, c, net = F.col("chars") - F.col("p.delta"), F.col("p.b"), F.col("p.c"), F.col("p.net")
+    (b_at, b_size), (c_at, c_size) = segment(other, b, blocks - 1), segment(other, c, blocks - 1)
+    owner = F.when((F.col("p.delta") == 0) & (net == 0), 1).otherwise(0)
+    cut = each.select("id", "chars", "line", other.alias("other"), b.alias("b"), c.alias("c"), net.alias("net"),
+                      F.col("p.delta").alias("delta"), owner.alias("owner"), b_at.alias("b_at"),
+                      (b_at + b_size).alias("b_end"), c_at.alias("c_at"), (c_at + c_size).alias("c_end"))
+    return (cut.where("other >= 1 AND b_end + net >= b_at AND c_end + delta >= c_at + IF(b = c, 0, net)")
+            .select(F.xxhash64("other", "b", "c", F.expr("substring(line, 1, b_at - 1)"),
+                               F.expr("substring(line, b_end + net, greatest(c_at - b_end, 0))"),
+                               F.expr("substring(line, c_end + delta, other - c_end + 1)")).alias("key"), "id", "owner"))
+
+
 def _let(value, body):
     """``body`` of ``value``, which is evaluated once a row: a lambda's variable is
     not replaced by its definition when Spark moves or merges expressions."""
@@ -176,13 +208,32 @@ def verify(pairs: DataFrame, lines: DataFrame, k: int) -> DataFrame:
             .where("near").select("a", "b"))
 
 
-def _remaining(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs of one group in different components that have not been compared;
-    one of them owns the segment."""
+def _members(keys: DataFrame) -> DataFrame:
+    """``key, id, owner, pivot`` of the keys that two lines share, the pivot being their first owner."""
+    shared = stored(keys.groupBy("key").agg(F.count("*").alias("size"), F.max("owner").alias("owned"))
+                         .where("size > 1 AND owned = 1").select("key"), "line-keys")
+    found = stored(bitmap_filter(keys, shared, "key").join(shared, "key")
+                        .groupBy("key", "id").agg(F.max("owner").alias("owner")), "line-found")
+    pivots = (found.where("owner = 1").groupBy("key").agg(F.min("id").alias("pivot")))
+    return stored(found.join(pivots, "key"), "line-members")
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    return (members.where("id <> pivot")
+            .select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct())
+
+
+def _labelled(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """The members but pivots, with their component and whether it is another than the pivot's."""
     labels = comps.select(F.col("id"), "component")
-    m = (members.join(labels, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-         .join(labels.select(F.col("id").alias("pivot"), F.col("component").alias("pc")), "pivot", "left")
-         .withColumn("outside", F.col("comp") != F.coalesce("pc", "pivot")).where("id <> pivot"))
+    return (members.join(labels, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+            .join(labels.select(F.col("id").alias("pivot"), F.col("component").alias("pc")), "pivot", "left")
+            .withColumn("outside", F.col("comp") != F.coalesce("pc", "pivot")).where("id <> pivot"))
+
+
+def _remaining(m: DataFrame) -> DataFrame:
+    """Pairs of one group of ``_labelled`` members in different components that have not been compared;
+    one of them owns the segment."""
     out = m.where("outside").select("key", F.col("id").alias("a"), F.col("comp").alias("ac"), F.col("owner").alias("ao"))
     rest = m.select("key", F.col("id").alias("b"), F.col("comp").alias("bc"), F.col("owner").alias("bo"), "outside")
     return (out.join(rest, "key")
@@ -191,6 +242,33 @@ def _remaining(members: DataFrame, comps: DataFrame) -> DataFrame:
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
+def line_components(lines: DataFrame, k: int) -> DataFrame:
+    """``id, component`` of the distinct ``lines`` (``id, chars, line``) that are within k edits of another,
+    by one round of keys and, for lines in crowded groups, a round for each of ``FINER``."""
+    all_lines, keys, links = lines, keys_of(lines, k), None
+    finer = list(FINER) if k <= 2 else []
+    while keys is not None:
+        members = _members(keys)
+        new = stored(verify(_stars(members), all_lines, k), "line-links")
+        links = new if links is None else links.unionByName(new)
+        merged = stored(components(links, "line-components"), "line-first")
+        m = stored(_labelled(members, merged), "line-labelled")
+        keys, left = None, m
+        if finer:
+            crowded = stored(m.where("outside").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED)
+                             .select("key"), "line-crowded")
+            if crowded.limit(1).count():
+                left = m.join(crowded, "key", "left_anti")
+                # the pivots were compared with every member
+                ids = stored(m.join(crowded, "key", "left_semi").select("id").distinct(), "line-crowd")
+                lines = stored(bitmap_filter(lines, ids, "id").join(ids, "id", "left_semi"), "line-crowded-lines")
+                keys = block_keys_of(lines, k, finer.pop(0))
+        more = stored(verify(_remaining(left), all_lines, k), "line-links")
+        if linked := bool(more.limit(1).count()):
+            links = links.unionByName(more)
+    return stored(components(links, "line-components"), "line-first") if linked else merged
+
+
 def line_classes(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id",
                  text_col: str = "text", min_exact: int | None = None) -> DataFrame:
     """``doc_id, text_hash, line_no, class_place, kept`` for every line long
@@ -203,19 +281,7 @@ def line_classes(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS
     distinct = stored(
         lines.groupBy("line").agg(F.min(place()).alias("first"), F.count("*").alias("copies"))
         .select(*_line_key(), "first", "copies", F.char_length("line").alias("chars"), "line"), "line-distinct")
-    keys = keys_of(distinct.where(F.col("chars") >= min_chars).select("id", "chars", "line"), k)
-    shared = stored(keys.groupBy("key").agg(F.count("*").alias("size"), F.max("owner").alias("owned"))
-                         .where("size > 1 AND owned = 1").select("key"), "line-keys")
-    found = stored(bitmap_filter(keys, shared, "key").join(shared, "key")
-                        .groupBy("key", "id").agg(F.max("owner").alias("owner")), "line-found")
-    pivots = (found.where("owner = 1").groupBy("key").agg(F.min("id").alias("pivot")))
-    members = stored(found.join(pivots, "key"), "line-members")
-    stars = (members.where("id <> pivot")
-             .select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct())
-    links = stored(verify(stars, distinct, k), "line-links")
-    first = stored(components(links, "line-components"), "line-first")
-    links2 = stored(verify(_remaining(members, first), distinct, k), "line-links")
-    merged = (components(links.unionByName(links2), "line-components") if links2.limit(1).count() else first)
+    merged = line_components(distinct.where(F.col("chars") >= min_chars).select("id", "chars", "line"), k)
     # lines of one place only are their own class; the others are looked up
     labels = (distinct.select("id", "id2", "first", "copies").join(merged, "id", "left")
               .where("copies > 1 OR component IS NOT NULL")

@@ -110,3 +110,49 @@ def test_far_pairs_do_not_reach_the_automaton(spark):
     assert [tuple(r) for r in near.collect()] == [(1, 2)]
     plan = near._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("aggregate(") < plan.index("levenshtein(")  # above it in the plan
+
+
+def test_finer_keys_equal_brute_force(spark, monkeypatch):
+    from checkup.llm import line_dedup as ld
+
+    # every group with a member outside is crowded, down to blocks of one or two characters
+    monkeypatch.setattr(ld, "CROWDED", 0)
+    monkeypatch.setattr(ld, "FINER", (4, 24))
+    test_classes_equal_brute_force(spark)
+
+
+def test_block_keys_join_every_near_pair(spark):
+    from checkup.llm.line_dedup import block_keys_of
+
+    rnd = random.Random(8)
+    base = "".join(rnd.choice("abcdef ") for _ in range(23))
+    lines = sorted({base, *(edited(rnd, base, rnd.randrange(1, 3)) for _ in range(60))})
+    df = spark.createDataFrame([(i, len(s), s) for i, s in enumerate(lines)], "id long, chars int, line string")
+    want = {(a, b) for a, b in combinations(range(len(lines)), 2) if edit_distance(lines[a], lines[b]) <= 2}
+    for blocks in (8, 26):  # 26: more blocks than characters
+        groups = {}
+        for r in block_keys_of(df, 2, blocks).collect():
+            groups.setdefault(r.key, {}).setdefault(r.id, set()).add(r.owner)
+        met = {p for g in groups.values() for p in combinations(sorted(g), 2) if any(1 in g[x] for x in p)}
+        assert want and want <= met
+
+
+def test_large_group_of_far_copies_is_not_compared_pair_by_pair(spark, monkeypatch):
+    from checkup.llm import line_dedup as ld
+
+    compared, verify_ = [], ld.verify
+    monkeypatch.setattr(ld, "verify", lambda pairs, *a: (compared.append(pairs.count()), verify_(pairs, *a))[1])
+    rnd, n = random.Random(9), 120
+    base = ["".join(rnd.choice("abcdefghij") for _ in range(9)) for _ in range(30)]
+
+    def far():  # words put in at three places of the last two thirds: the first third stays
+        words = list(base)
+        for _ in range(3):
+            words.insert(rnd.randrange(11, len(words)), "".join(rnd.choice("klmnop") for _ in range(rnd.randrange(4, 7))))
+        return " ".join(words)
+
+    texts = [far() for _ in range(n)]
+    near = edited(rnd, texts[5], 2)
+    rows = line_rows(docs_of(spark, [*texts, near]), min_exact=1).collect()
+    assert {r.doc_id: r.class_doc_id for r in rows} == {**{i: i for i in range(n)}, n: 5}
+    assert sum(compared) < 12 * n  # all pairs: 7,140
