@@ -7,6 +7,7 @@ from checkup.plans import flatten_plans, plan_summaries, split_plan_documents, t
 from checkup.sinks.report import read_findings_json, write_findings_json
 from checkup.sources import derived
 from checkup.streaming.plan_files import listing_session
+from tests import plan_docs as P
 
 SMOKE = "/root/testdata/sf0.001"
 
@@ -77,3 +78,10 @@ def test_a_stream_lists_in_few_tasks(spark):
     assert int(own.conf.get(key)) == 4 * spark.sparkContext.defaultParallelism
     assert own.conf.get("spark.sql.session.timeZone") == spark.conf.get("spark.sql.session.timeZone")
     assert spark.conf.get(key) == before
+
+
+def test_readable_documents_are_split_off_with_the_columns_asked_for(spark):
+    runs = spark.createDataFrame([(1, P.SLOW), (2, "{"), (3, None)], "run_id long, plan_json string")
+    good, bad = split_plan_documents(runs, columns=["run_id", "planning_time_ms"])
+    assert good.columns == ["run_id", "planning_time_ms"] and [tuple(r) for r in good.collect()] == [(1, 0.35)]
+    assert sorted((r.run_id, r.reason) for r in bad.collect()) == [(2, "not_json"), (3, "null_document")]
