@@ -29,6 +29,8 @@ from checkup.session import new_work_path
 CAPACITY = 2048
 OPEN_BINS = 1024
 ROWS_PER_TASK = 200_000
+MEMO_ENTRIES = 400_000     # pieces a worker remembers: its memory is this, whatever the input's size
+TEXT_BYTES = 1 << 20       # of texts in Python at once
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, `offset` long, closed boolean"
 _PIECES_PA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
@@ -43,9 +45,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     ship(docs.sparkSession)
 
     def run(batches):
-        encode = memo_encoder(tokenizer_path, "word", "ids")
+        encode = memo_encoder(tokenizer_path, "word", "ids", MEMO_ENTRIES)
         end = end_id.to_bytes(4, "little")  # packed ids: four bytes each
-        for b in text_batches(batches):
+        for b in text_batches(batches, TEXT_BYTES):
             cols = ([], [], [], [], [])
             texts = [t or "" for t in b.column(1).to_pylist()]
             for doc_id, ids in zip(b.column(0).to_pylist(), encode(texts)):

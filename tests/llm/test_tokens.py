@@ -155,3 +155,13 @@ def test_scan_equals_stepping():
         want.append(q)
         q = byte_bpe._FLAT[x * byte_bpe.N_STATES + q]
     assert byte_bpe.scan_states(s).tolist() == want
+
+
+def test_pieces_do_not_depend_on_what_a_worker_remembers(spark, monkeypatch):
+    from checkup.llm import packing
+
+    docs = docs_of(spark, [" ".join(f"word{i * j % 97} Other{j}," for j in range(60)) for i in range(30)])
+    want = sorted(map(tuple, token_pieces(docs, P.path("word_bpe_49k.json")).collect()))
+    monkeypatch.setattr(packing, "MEMO_ENTRIES", 5)
+    monkeypatch.setattr(packing, "TEXT_BYTES", 100)
+    assert sorted(map(tuple, token_pieces(docs, P.path("word_bpe_49k.json")).collect())) == want
