@@ -156,6 +156,38 @@ def test_top_k_edges(spark):
     assert top_products(vectors(spark, [(1, [1.0])])).collect() == []
 
 
+def test_a_vector_is_sent_once_to_a_group_of_cells(spark, monkeypatch):
+    from checkup.llm import knn_join
+
+    kept, write = {}, knn_join.stored
+    monkeypatch.setattr(knn_join, "stored", lambda df, name: kept.setdefault(name, write(df, name)))
+    rnd = np.random.default_rng(8)
+    rows = [(i, rnd.normal(size=16).astype(np.float32).tolist()) for i in range(1500)]  # all directions: no bound excludes anything
+    for query_block, groups in ((5, 1), (1, 5)):
+        kept.clear()
+        got = sorted(tuple(r) for r in top_products(vectors(spark, rows), k=4, n_pivots=40, query_block=query_block).collect())
+        assert got == brute_top(rows, 4, 20)
+        assert kept["knn-cells"].select("cell").distinct().count() == 40
+        sent = kept["knn-sent"]
+        assert sent.count() <= 1500 * sent.select("grp").distinct().count() and groups <= sent.select("grp").distinct().count() <= 2 * groups
+
+
+def test_top_k_with_many_stretches_and_wide_components(spark, monkeypatch):
+    monkeypatch.setattr("checkup.llm.knn_join.STRETCHES", 2)
+    rnd = np.random.default_rng(9)
+    for scale in (1, 1000, 10**6):  # components of two, four and eight bytes
+        rows = [(i, (rnd.integers(-3, 4, size=6) * scale).astype(float).tolist()) for i in range(700)]  # many ties
+        got = sorted(tuple(r) for r in top_products(vectors(spark, rows), k=6, n_pivots=9, query_block=3, data_block=20).collect())
+        assert got == brute_top(rows, 6, 20)
+
+
+def test_cells_in_groups():
+    from checkup.llm.knn_join import _groups
+
+    assert _groups({0: 3, 1: 25, 2: 4, 3: 6, 4: 1}, [0, 2, 1, 3, 4], 10) == (
+        [[0, 2], [1], [1], [1], [3, 4]], {0: 0, 2: 0, 1: 1, 3: 4, 4: 4}, {0: 1, 2: 1, 1: 3, 3: 1, 4: 1})
+
+
 def test_products_are_exact_for_large_components():
     q, x = np.array([[2.0**40, 1.0]]), np.array([[2.0**20, 3.0], [2.0**30, -5.0]])
     assert products(q, x).tolist() == [[2**60 + 3, 2**63 - 1]]
