@@ -75,3 +75,36 @@ def test_files_that_arrive_equal_the_batch_run(spark, workdir):
     stream.process_batch(again, last)
     assert sorted(map(tuple, stream.runs(spark).select("run_id", "plan_json").collect())) == before
     assert stream.findings(spark).count() == 3
+
+
+def test_stream_over_many_small_files_keeps_little_on_the_driver(spark, workdir, monkeypatch):
+    import gc
+    import weakref
+
+    from checkup.streaming import plan_files
+
+    src, kept, tasks = f"{workdir}/src", [], []
+    parse, process = plan_files.parse_plan_documents, PlanFileStream.process_batch
+    monkeypatch.setattr(plan_files, "parse_plan_documents", lambda b: (out := parse(b), kept.append(weakref.ref(out)))[0])
+    monkeypatch.setattr(PlanFileStream, "process_batch", lambda self, batch, n: (
+        tasks.append(batch.rdd.getNumPartitions()), process(self, batch, n))[1])
+    stream = PlanFileStream(src, f"{workdir}/store", f"{workdir}/quarantine", f"{workdir}/checkpoint")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    gc.disable()  # what the stream does not collect itself stays
+    try:
+        for arrival in range(2):
+            os.makedirs(f"{src}/{arrival}")
+            for i in range(300):
+                with open(f"{src}/{arrival}/{i:03d}.json", "w") as f:
+                    f.write(P.FAST if i % 3 else '{"cut')
+            stream.start(spark).awaitTermination()
+        query = stream.start(spark)  # nothing has arrived, but what the arrivals left is gone
+        query.awaitTermination()
+    finally:
+        gc.enable()
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(tasks) == 2 and max(tasks) <= 2 * spark.sparkContext.defaultParallelism
+    assert [r() for r in kept] == [None, None]
+    assert [r.run_id for r in stream.runs(spark).orderBy("run_id").collect()] == list(range(1, 401))
+    assert stream.findings(spark).count() == 200
